@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, packing
+from quillon.llm import chat, decontam, packing, quality, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def _digest(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(_digest("base"), 256).alias("base_sha256"),
+        _digest("spans").alias("spans"),
+        F.round(F.array_max(F.transform("spans", lambda x: x["guesses"])), 3).alias("most_guesses_log10"),
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,12 +64,32 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(_chat_rows(spark, sf_dir)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, sentences=True).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.to_json("sentences").alias("sentences"),
+    )
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_benchmark_decontamination, op5_chat_formatting, op10_harmonic_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op3_secret_scan,
+        op4_benchmark_decontamination,
+        op5_chat_formatting,
+        op8_toxicity,
+        op10_harmonic_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
