@@ -154,7 +154,7 @@ def thresholds(sketch: DataFrame, reach: int = 4) -> DataFrame:
 
 #: However even a group is, rates below these (and, for the last, above it) are never an outlier: the sketch's 3 %, and
 #: what a stray symbol or a repeated phrase amounts to.
-HARMLESS = {"symbols": (-1, 2_000), "dup_lines": (-1, 3_000), "repeats": (-1, 20_000), "word_length": (2_000, 12_000)}
+HARMLESS = {"symbols": (-1, 2_000), "dup_lines": (-1, 3_000), "repeats": (-1, 35_000), "word_length": (2_000, 12_000)}
 
 
 def judge(docs: DataFrame, reach: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, packing, quality, secret_scan, toxicity
+from quillon.llm import chat, decontam, licenses, packing, quality, secret_scan, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
+def op2_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with three edits: words put in after a quarter, a word replaced halfway, a cut at three quarters."""
+    docs = _read(spark, sf_dir, "documents")
+    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+
+    def edit(at: Column, length: int, text: str) -> Column:
+        return F.struct(at.cast("int").alias("start"), F.lit(length).alias("length"), F.lit(text).alias("text"))
+
+    edits = F.array(
+        edit(F.floor(n / 4), 0, " some words,\n put in"), edit(F.floor(n / 2), 5, "Edited"), edit(F.floor(n * 3 / 4), 40, "")
+    )
+    return token_counts.count(docs.select("doc_id", "text", edits.alias("edits")))
+
+
 def _digest(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -76,6 +90,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base").alias("first_word"),
+        F.array_max("base").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -84,10 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_edit_aware_token_counts,
         op3_secret_scan,
         op4_benchmark_decontamination,
         op5_chat_formatting,
         op8_toxicity,
+        op9_license_scan,
         op10_harmonic_packing,
     )
 }
