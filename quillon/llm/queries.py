@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, licenses, packing, quality, secret_scan, token_counts, toxicity
+from quillon.llm import chat, decontam, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(_chat_rows(spark, sf_dir)))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secret_scan,
         op4_benchmark_decontamination,
         op5_chat_formatting,
+        op6_ngram_jaccard_join,
         op8_toxicity,
         op9_license_scan,
         op10_harmonic_packing,
