@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from quillon.llm import blocks, graph
-from quillon.llm.common import Scratch
+from quillon.llm.common import Scratch, fresh
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -313,3 +313,13 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return feats.select("doc_id", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
+
+
+def clean(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns.
+
+    Documents without words and rows with a null doc_id stay; rows with one doc_id are one document.
+    """
+    key = fresh(docs, "key")
+    gone = components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")

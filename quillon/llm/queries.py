@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity
+import corpus_pipeline
+from quillon.llm import chat, decontam, licenses, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("dropped").cast("long").alias("n_dropped"),
+        "n_near",
+        F.array_join("dropped", ",").alias("dropped_lines"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -120,10 +130,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_benchmark_decontamination,
         op5_chat_formatting,
         op6_ngram_jaccard_join,
+        op7_line_dedup,
         op8_toxicity,
         op9_license_scan,
         op10_harmonic_packing,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {}
