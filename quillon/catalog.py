@@ -6,17 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "corpus_manifest"
-
+from quillon import plans  # noqa: F401  (registers all analyses)
+from quillon.registry import REGISTRY
 
-def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").count()
+FLAGSHIP = "corpus_manifest"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"corpus_manifest": corpus_manifest}
+    return dict(REGISTRY.analyses)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: a.oracle for n, a in REGISTRY.analyses.items() if a.oracle}
