@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon import plans  # noqa: F401  (registers all analyses)
 from quillon.registry import REGISTRY
 
-FLAGSHIP = "corpus_manifest"
+FLAGSHIP = "corpus_fingerprint"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
