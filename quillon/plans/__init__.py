@@ -1,3 +1,3 @@
 """Registered analyses, composed of sources, functions and operators."""
 
-from quillon.plans import information, line_effects, vocabulary  # noqa: F401
+from quillon.plans import inference, information, line_effects, parsing, relations, resampling, vocabulary  # noqa: F401
