@@ -1,3 +1,5 @@
 """Registered analyses, composed of sources, functions and operators."""
 
-from quillon.plans import inference, information, line_effects, parsing, relations, resampling, vocabulary  # noqa: F401
+from quillon.plans import (  # noqa: F401
+    inference, information, line_effects, models, parsing, relations, resampling, vectors, vocabulary,
+)
