@@ -1,5 +1,5 @@
 """Registered analyses, composed of sources, functions and operators."""
 
 from quillon.plans import (  # noqa: F401
-    inference, information, line_effects, models, parsing, relations, resampling, vectors, vocabulary,
+    generators, inference, information, line_effects, models, parsing, relations, resampling, search, vectors, vocabulary,
 )
