@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import map_texts
+
 #: Rows of a block; a task holds two blocks of one group at a time.
 BLOCK = 1024
 
@@ -58,4 +60,4 @@ def each_group(
             yield batch()
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *columns[:1])
-    return dealt.select(*keys, *columns).mapInArrow(task, schema)
+    return map_texts(dealt.select(*keys, *columns), task, schema)

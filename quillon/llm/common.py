@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them; nothing may read it afterwards."""
         jvm = self.spark.sparkContext._jvm
@@ -52,18 +59,40 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z only; other letters stay as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow batches of at most `rows` rows from now on: texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000") or 0) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task, after which its Python worker, which the next task reuses, gives free memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            import ctypes
 
+            import pyarrow as pa
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL(None).malloc_trim(0)
 
+    return run
 
-def texts(batch, name: str = "text") -> list[str]:
-    """A batch's texts, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+
+def map_texts(rows: DataFrame, task: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow over rows with texts, in bounded batches."""
+    bounded(rows.sparkSession)
+    return rows.mapInArrow(tidy(task), schema)
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z only; other letters stay as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 #: Bytes to bytes: A-Z to a-z, other ASCII than letters and digits to a space, all else as it is.

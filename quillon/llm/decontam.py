@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD_BYTES
+from quillon.llm.common import WORD_BYTES, map_texts
 
 #: A word after A-Z became a-z, in the original text.
 ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), task, SCHEMA)
 
 
 def _batch(sent: list, texts: list[str]) -> list[tuple]:
@@ -176,4 +176,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
             found = _batch(sent, [x or "" for x in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([h is None for _, h, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return map_texts(docs, task, docs.schema)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm import blocks
-from quillon.llm.common import Scratch, fresh
+from quillon.llm.common import Scratch, fresh, map_texts
 
 #: Line hashes that a task remembers, so that a common line's keys leave it once; forgetting only repeats them.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(task, "doc_id long, line_no long, h1 long, h2 long, n long, keys array<long>")
+    return map_texts(own, task, "doc_id long, line_no long, h1 long, h2 long, n long, keys array<long>")
 
 
 def _later(members: list[tuple], edits: int) -> list[tuple]:

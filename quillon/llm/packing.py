@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe
+from quillon.llm.common import map_texts
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -123,4 +124,4 @@ def pack(
             yield _rows(placed, with_ids)
         yield _rows(packer.finish(), with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), task, SCHEMA)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch
+from quillon.llm.common import Scratch, map_texts
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SPACE = b" \t\n\x0b\x0c\r"
@@ -62,7 +62,8 @@ def features(docs: DataFrame) -> DataFrame:
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")),
         F.col("text").cast("string").alias("text"),
     )
-    return kept.mapInArrow(_features, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in FEATURES))
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in FEATURES)
+    return map_texts(kept, _features, schema)
 
 
 def bucket(value: Column) -> Column:

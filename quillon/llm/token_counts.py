@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe
+from quillon.llm.common import map_texts
 
 PIECE = regex.compile(bpe.PATTERN)
 #: Pre-tokens in a leaf, as built; a leaf that grows past GROWN is split when the tree is next rebuilt.
@@ -28,7 +29,7 @@ class Counter:
     def __call__(self, piece: str) -> int:
         n = self.known.get(piece)
         if n is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             n = self.known[piece] = len(self.encode(piece))
         return n
@@ -202,7 +203,7 @@ def count(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None)
         F.col("text").cast("string").alias("text"),
         F.col(edits).cast("array<struct<start:int,length:int,text:string>>").alias("edits"),
     )
-    return kept.mapInArrow(task, SCHEMA)
+    return map_texts(kept, task, SCHEMA)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import map_texts
+
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
 #: Weights of the model; features are hashed to them.
@@ -40,7 +42,7 @@ class Model:
     def word(self, word: str) -> float:
         w = self.known.get(word)
         if w is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             w = self.known[word] = float(sum(self.weights[k] for k in word_features(word)))
         return w
@@ -141,11 +143,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
         .limit(most_docs)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = (
-        own.join(F.broadcast(known), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .mapInArrow(_featurise, "doc_id long, toxic int, feats binary, sizes array<int>")
-    )
+    labelled = own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    feats = map_texts(labelled, _featurise, "doc_id long, toxic int, feats binary, sizes array<int>")
     out, words = [], 0
     rows = feats.withColumn("n", (F.length("feats") / 4).cast("long"))
     # a document of over a hundredth of the bound would crowd the sample out
@@ -188,7 +187,7 @@ def score(docs: DataFrame, model: Model, sentences: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, score double" + ", sentences array<struct<start:long,end:long,score:double>>" * sentences
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), task, schema)
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -201,4 +200,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             keep = [m.score([z for _, _, z in m.logits(t or "")]) < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return map_texts(docs, task, docs.schema)
