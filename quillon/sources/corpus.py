@@ -123,9 +123,9 @@ def read_control(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """Word boxes of a page in XML."""
-    schema = "_index int, _x int, _y int, _width int, _height int, text string"
+    schema = "_index int, _x int, _y int, _width int, _height int, _VALUE string"
     return spark.read.format("xml").option("rowTag", "word").schema(schema).load(path).select(
-        *(F.col(f"_{c}").alias(c) for c in ("index", "x", "y", "width", "height")), F.col("text").alias("word")
+        *(F.col(f"_{c}").alias(c) for c in ("index", "x", "y", "width", "height")), F.col("_VALUE").alias("word")
     )
 
 
