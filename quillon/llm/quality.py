@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 #: Measures, each a rate, with the integer share (per 100,000) that a sketch counts; True: a low value is bad as well.
 MEASURES: dict[str, tuple[str, bool]] = {
     "symbols": ("n_symbols * 100000 div (word_chars + n_symbols + 1)", False),
-    "dup_lines": ("n_dup_lines * 100000 div (n_dup_lines + n_words)", False),
+    "dup_lines": ("n_dup_lines * 100000 div (n_dup_lines + n_words + 1)", False),
     "repeats": ("n_repeat_words * 100000 div (n_words + 1)", False),
     "word_length": ("word_chars * 1000 div (n_words + 1)", True),
 }
