@@ -137,4 +137,107 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = r"""
+with w as (
+  select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (
+  select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as n
+  from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by doc_id),
+l as (
+  select doc_id, count(*) - count(distinct line) as n
+  from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+f as (
+  select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from w left join l using (doc_id) left join r using (doc_id)),
+m as (
+  select *, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) as measure,
+         unnest([n_symbols * 100000 // (word_chars + n_symbols + 1), n_dup_lines * 100000 // (n_dup_lines + n_words + 1),
+                 n_repeat_words * 100000 // (n_words + 1), word_chars * 1000 // (n_words + 1)]) as v from f),
+d as (select *, case when v < 64 then 0 else floor(log2(v))::bigint end as p from m),
+b as (  -- the largest value of v's bucket: 32 buckets a doubling
+  select *, case when v < 64 then v else ((v >> (p - 5)) + 1) * (1 << (p - 5)) - 1 end as e from d),
+s as (select lang, source, measure, e, count(*) as n from b where n_words > 0 group by all),
+own as (
+  select lang, source, measure, max(total) as total, min(e) filter (upto * 4 >= total) as q1, min(e) filter (upto * 4 >= total * 3) as q3
+  from (select *, sum(n) over (partition by lang, source, measure order by e) as upto, sum(n) over (partition by lang, source, measure) as total from s) group by all),
+bl as (
+  select lang, measure, max(total) as total, min(e) filter (upto * 4 >= total) as q1, min(e) filter (upto * 4 >= total * 3) as q3
+  from (select *, sum(n) over (partition by lang, measure order by e) as upto, sum(n) over (partition by lang, measure) as total
+        from (select lang, measure, e, sum(n) as n from s group by all)) group by all),
+ev as (
+  select measure, min(e) filter (upto * 4 >= total) as q1, min(e) filter (upto * 4 >= total * 3) as q3
+  from (select *, sum(n) over (partition by measure order by e) as upto, sum(n) over (partition by measure) as total
+        from (select measure, e, sum(n) as n from s group by all)) group by all),
+q as (
+  select own.lang, own.source, own.measure,
+         case when own.total >= 200 then own.q1 when bl.total >= 200 then bl.q1 else ev.q1 end as q1,
+         case when own.total >= 200 then own.q3 when bl.total >= 200 then bl.q3 else ev.q3 end as q3
+  from own left join bl using (lang, measure) left join ev using (measure)),
+x as (
+  select b.doc_id, b.measure, v, q1 - 4 * greatest(q3 - q1, q3 // 8) as low, q3 + 4 * greatest(q3 - q1, q3 // 8) as high,
+         map {'symbols': 2000, 'dup_lines': 3000, 'repeats': 35000, 'word_length': 12000}[b.measure] as most
+  from b left join q on q.lang = b.lang and q.source = b.source and q.measure = b.measure),
+y as (
+  select doc_id, string_agg(measure, ',' order by array_position(['symbols', 'dup_lines', 'repeats', 'word_length'], measure)) as failed
+  from x where v > greatest(high, most) or measure = 'word_length' and v < least(low, 2000) group by doc_id)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and failed is null as kept, coalesce(failed, '') as failed
+from f left join y using (doc_id)"""
+
+_WORDS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = f"""
+with b as (select item_id, {_WORDS} as w from benchmark where text is not null),
+win as (
+  select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g
+  from (select *, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+p as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win) where len(w) >= k),
+hit as (select doc_id, i, p.k, item_id from p join win on win.k = p.k and win.g = array_to_string(w[i:i + p.k - 1], ' ')),
+places as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + k)) as j from hit) group by doc_id),
+its as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(places.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, places.n is not null as contaminated
+from d left join places using (doc_id) left join its using (doc_id)"""
+
+OP5_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (  -- an escaped text is longer by its backslashes, its "</" and each "#" after a "#"
+  select *, length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</', ''))) // 2
+              + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda x: length(x) - 1)), 0) as t,
+            length(role) + (length(role) - length(replace(role, '\', ''))) + (length(role) - length(replace(role, '</', ''))) // 2
+              + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+'), lambda x: length(x) - 1)), 0) + (length(role) - length(replace(role, chr(10), ''))) as r
+  from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(t + r + 13)::bigint as formatted_chars
+from e group by conv_id"""
+
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') as g
+  from (select *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach as (select doc_id, doc_id as r from w union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.r as component_id
+from w left join n using (doc_id) join (select doc_id, min(r) as r from reach group by doc_id) m using (doc_id)"""
+
+#: Queries that train, tokenise or judge by a method SQL lacks are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op5_chat_formatting": OP5_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
+}
