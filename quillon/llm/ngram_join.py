@@ -6,17 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from quillon.llm import blocks, graph
-from quillon.llm.common import Scratch, fresh
+from quillon.llm.common import Scratch, fresh, map_texts
 
+#: Rounds in which each node is compared with single members of its keys, before all remaining pairs are.
+ROUNDS = 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 
@@ -35,7 +35,7 @@ class Words:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known = self.known
         for w in set(words):
@@ -136,9 +136,17 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
-@F.pandas_udf(LongType())
-def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([hamming(x, y) for x, y in zip(a, b)], dtype="int64")
+def _apart(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, apart): the pairs (a, b, na, nb, sa, sb) whose sketches' distance the sizes allow."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            found = [(a, b, d) for a, b, na, nb, x, y in rows if (d := hamming(x, y)) <= rule.most_apart(na, nb)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "apart"])
+
+    return map_texts(pairs.select("a", "b", "na", "nb", "sa", "sb"), task, "a long, b long, apart long")
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -172,7 +180,7 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(task, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
+    return map_texts(own, task, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -191,7 +199,7 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return own.join(ids, "node", "left_semi").mapInArrow(task, "node long, elements array<long>")
+    return map_texts(own.join(ids, "node", "left_semi"), task, "node long, elements array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
@@ -212,10 +220,6 @@ def _bound(rule: Rule) -> Column:
     return 100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb")
 
 
-def _apart(rule: Rule) -> Column:
-    return F.floor((F.col("na") + F.col("nb")) * (100 - rule.percent) / (100 + rule.percent))
-
-
 def _near(members: list[tuple], rule: Rule) -> list[tuple]:
     """Pairs of one group's members (node, component, n, sketch, own, low, high) that sizes and sketches allow.
 
@@ -265,37 +269,55 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     rule = Rule(words, percent)
     scratch = Scratch(docs.sparkSession, "jaccard")
+    # keys, and the shuffles that they go through, are the bulk of what is on disk: each is deleted once it has served
     feats = scratch.table(features(docs, rule), "features")
-    full = feats.where("n > 0 and doc_id is not null")
-    nodes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
-    nodes = scratch.table(nodes, "nodes")
-    slim = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
-
-    own_keys = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    keyed = own_keys.select("node", F.explode("keys").alias("key"))
+    rows = scratch.table(feats.select("doc_id", "n", "h1", "h2"), "rows")
+    full = feats.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(
+        F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+    )
+    full = scratch.table(full, "full")
+    scratch.drop("features")
+    scratch.settle()
+    keyed = full.select("node", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     multi = keyed.select("key", "node", F.first("node").over(order).alias("pivot"), F.lead("node").over(order).alias("next"))
     multi = scratch.table(multi.where("node <> pivot or next is not null").select("key", "node", "pivot"), "multi")
 
+    nodes = scratch.table(full.drop("keys"), "nodes")
+    slim = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
+    scratch.drop("full")
+    scratch.settle()
+
     def sized(pairs: DataFrame) -> DataFrame:
         a = slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         return pairs.join(a, "a").join(b, "b").where(_bound(rule))
 
-    first = sized(multi.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = first.withColumn("apart", _hamming("sa", "sb")).where(F.col("apart") <= _apart(rule))
-    chosen = first.groupBy("a").agg(
-        F.min(F.struct("apart", "b"))["b"].alias("nearest"), F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("common")
-    )
-    pairs = chosen.select("a", F.explode(F.array_distinct(F.array("nearest", "common"))).alias("b"))
-    pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs1")
-    links = _verified(pairs, docs, rule, scratch, "links1")
-    comps = scratch.table(graph.components(links, scratch, "cc1"), "comps1")
-
-    placed = multi.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rest = scratch.table(placed.join(mixed.select("key"), "key").select("key", "node", "comp"), "rest")
-    met = blocks.paired(rest.join(slim, "node").select("key", "node", "comp", "n", "sketch"), "key", "node")
+    def chosen(pairs: DataFrame, name: str) -> DataFrame:
+        """Of the candidates that sizes and sketches allow, each node's nearest and the one that most nodes share."""
+        per = _apart(sized(pairs), rule).groupBy("a").agg(
+            F.min(F.struct("apart", "b"))["b"].alias("nearest"), F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("common")
+        )
+        out = per.select("a", F.explode(F.array_distinct(F.array("nearest", "common"))).alias("b"))
+        return scratch.table(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+    placed, links, tried, comps = multi, None, None, None
+    for step in range(ROUNDS):
+        if step:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(step)), "node")
+            at = placed.select("key", "node", "comp", F.first("node").over(order).alias("pivot"), F.first("comp").over(order).alias("pc"))
+            at = at.where("comp <> pc")
+        else:
+            at = multi.where("node <> pivot")
+        pairs = chosen(at.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"pairs{step}")
+        found = _verified(pairs, docs, rule, scratch, f"links{step}")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        comps = scratch.table(graph.components(links, scratch, f"cc{step}"), f"comps{step}")
+        placed = placed.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        placed = scratch.table(placed.join(mixed.select("key"), "key").select("key", "node", "comp"), f"rest{step}")
+    met = blocks.paired(placed.join(slim, "node").select("key", "node", "comp", "n", "sketch"), "key", "node")
     near = blocks.each_group(
         met.withColumns({"low_": F.col("low"), "high_": F.col("high")}),
         ["key", "low", "high"],
@@ -303,14 +325,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "a long, b long, na long, nb long",
         lambda members: _near(members, rule),
     )
-    near = near.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    near = scratch.table(near, "pairs2")
-    more = _verified(near, docs, rule, scratch, "links2")
-    comps = graph.components(links.unionByName(more), scratch, "cc2") if not more.isEmpty() else comps
+    near = scratch.table(near.select("a", "b").distinct(), "near")
+    more = _verified(near.join(tried.distinct(), ["a", "b"], "left_anti"), docs, rule, scratch, "links")
+    if not more.isEmpty():
+        comps = graph.components(links.unionByName(more), scratch, "cc")
 
     found = nodes.select("h1", "h2", "n", "node").join(comps, "node", "left")
     found = found.select("h1", "h2", "n", F.coalesce("root", "node").alias("component"))
-    return feats.select("doc_id", "n", "h1", "h2").join(found, ["h1", "h2", "n"], "left").select(
+    return rows.join(found, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
