@@ -1,5 +1,5 @@
 """Registered analyses, composed of sources, functions and operators."""
 
 from quillon.plans import (  # noqa: F401
-    generators, inference, information, line_effects, models, parsing, relations, resampling, search, streams, vectors, vocabulary,
+    families, generators, inference, information, line_effects, models, parsing, relations, resampling, search, streams, vectors, vocabulary,
 )
