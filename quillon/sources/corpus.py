@@ -144,3 +144,32 @@ def manifest(lines: DataFrame) -> DataFrame:
     words = lines.select("corpus", F.explode("words").alias("w")).groupBy("corpus", "w").agg(F.count("*").alias("n"))
     types = words.groupBy("corpus").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
     return lines.groupBy("corpus").agg(F.count("*").alias("lines")).join(types, "corpus").select("corpus", "tokens", "types", "lines")
+
+
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Marks outside the basic alphabet of transliterations: (file, mark, n) of @123; signs, {groups} and apostrophes."""
+    marks = F.regexp_extract_all("value", F.lit(r"(@\d+;|\{[^}]*\}|')"), 1)
+    lines = spark.read.text(path).where("value like '<%'").select(F.col("_metadata.file_name").alias("file"), F.explode(marks).alias("mark"))
+    return lines.groupBy("file", "mark").agg(F.count("*").alias("n"))
+
+
+def read_edition(spark: SparkSession, path: str, incipit: str) -> DataFrame:
+    """A scanned edition's text lines, (file, line_no, words): from the second line with the incipit (the first is the
+    table of contents), without page numbers, footnotes, apparatus and lines of fewer than two words.
+
+    A file is one group of the running count of incipits, which streams.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
+    upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.sum(F.contains(F.lower("line"), F.lit(incipit.lower())).cast("int")).over(upto)
+    told = raw.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long").alias("line_no"), "line", seen.alias("seen"))
+    page = F.col("line").rlike(r"^[\divxlc\s.\-–—]+$")
+    note = F.col("line").rlike(r"^(\d+[\s.)]|[*†‡])")
+    apparatus = F.col("line").rlike(r"(?i)\b(om|add|cod|codd|mss?)\.|\]")
+    kept = told.where((F.col("seen") >= 2) & ~page & ~note & ~apparatus)
+    return kept.select("file", "line_no", T.words(F.col("line")).alias("words")).where(F.size("words") >= 2)
+
+
+def labels(lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Loci of the given subtypes, such as Lz or Cc: labels and circular texts."""
+    return lines.where(F.regexp_extract("locus", r",.([A-Z][a-z0-9]?)", 1).isin(*kinds))

@@ -45,3 +45,12 @@ def test_write_corpus_and_results(spark, tmp_path):
     assert sorted((r.corpus, r.value) for r in back.collect()) == [("c", "a"), ("c", "a b"), ("d", "x")]
     (tmp_path / "r.json").write_text('{"gate": true, "verdict": "bind"}')
     assert tuple(C.read_results(spark, str(tmp_path / "r.json"), "gate boolean, verdict string").first()) == (True, "bind")
+
+
+def test_marks_edition_labels(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("# no @1;\n<f1.1,@Cc> ab@152;c{de}f'@152;\n<f1.2,@P0> x\n")
+    assert sorted(map(tuple, C.read_marks(spark, str(tmp_path / "m.txt")).drop("file").collect())) == [("'", 1), ("@152;", 2), ("{de}", 1)]
+    assert [r.locus for r in C.labels(C.read_ivtff(spark, str(tmp_path / "m.txt")), ("P0",)).collect()] == ["f1.2,@P0"]
+    (tmp_path / "e.txt").write_text("Incipit liber 3\npreface words here\nIncipit liber\n12\nprima linea textus\n1 a footnote\nsecunda om. cod. linea\nsolus\ntertia linea\n")
+    got = C.read_edition(spark, str(tmp_path / "e.txt"), "incipit liber").orderBy("line_no").collect()
+    assert [r.words for r in got] == [["incipit", "liber"], ["prima", "linea", "textus"], ["tertia", "linea"]]
