@@ -33,10 +33,12 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """Sentence score: the logistic function of a bias and the weights of its words. A document's: noisy-or."""
+    """Sentence score: the logistic function of a bias and the weights of its words. A document's: noisy-or, calibrated."""
 
     bias: float
     weights: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
     known: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
@@ -56,10 +58,43 @@ class Model:
                 out.append((*m.span(), self.bias + sum(map(self.word, words))))
         return out
 
-    def score(self, logits: list[float]) -> float:
-        """1 - product of (1 - p): the chance that any sentence is toxic. An empty text has the score of the bias."""
-        z = np.array(logits if logits else [self.bias])
-        return float(-np.expm1(-np.logaddexp(0.0, z).sum()))
+    def log_odds(self, logits) -> float:
+        """Of the noisy-or: 1 - product of (1 - p) is the chance that any sentence is toxic. No sentence: the bias's own."""
+        z = np.asarray(logits if len(logits) else [self.bias], dtype=float)
+        none = -np.logaddexp(0.0, z).sum()  # log of the chance that none is
+        return float(np.log(max(-np.expm1(none), 1e-300)) - none)
+
+    def score(self, logits) -> float:
+        """0 to 1, by a calibration that keeps the order of documents."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(logits) + self.offset, -40, 40))))
+
+
+def calibration(model: Model, docs: list[tuple[list[np.ndarray], int]]) -> tuple[float, float]:
+    """Slope and offset of a logistic function of the log odds of documents that the model wasn't fitted on.
+
+    Newton's steps with the prior that nothing need change, so a few documents move little; the order of documents
+    never turns round.
+    """
+    x = np.array([model.log_odds([model.bias + model.weights[s].sum() for s in sentences]) for sentences, _ in docs])
+    y = np.array([label for _, label in docs], dtype=float)
+    if y.sum() < 5 or y.sum() > len(y) - 5:
+        return 1.0, 0.0
+    design, start = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, 0.0])
+
+    def loss(ab: np.ndarray) -> float:
+        z = design @ ab
+        return float((np.logaddexp(0, z) - y * z).sum() + ((ab - start) ** 2).sum() / 2)
+
+    ab = start
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(design @ ab, -40, 40)))
+        slope = design.T @ (p - y) + (ab - start)
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        while loss(ab - step) > loss(ab) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        ab = ab - step
+    return float(max(ab[0], 0.05)), float(ab[1])
 
 
 def fit(docs: list[tuple[list[np.ndarray], int]], seed: int = 7) -> Model:
@@ -104,7 +139,7 @@ def fit(docs: list[tuple[list[np.ndarray], int]], seed: int = 7) -> Model:
             w[touched] -= RATE * g / np.sqrt(seen[touched])
             gb = slope.sum() / len(part)
             bias_seen += gb * gb
-            bias -= 0.1 * gb / np.sqrt(bias_seen)
+            bias -= RATE * gb / np.sqrt(bias_seen)
     return Model(bias, w)
 
 
@@ -158,7 +193,12 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels))
+    """A model of the sample, calibrated by one of four fifths of it on the rest."""
+    rows = sample(docs, labels)
+    part = fit([r for i, r in enumerate(rows) if i % 5])
+    model = fit(rows)
+    model.slope, model.offset = calibration(part, rows[::5])
+    return model
 
 
 def score(docs: DataFrame, model: Model, sentences: bool = False) -> DataFrame:
