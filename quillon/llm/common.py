@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once in the shared folder and read again, so that a lost executor costs only its own tasks."""
+    """Tables written once in the shared folder and read again, so that a lost executor costs only its own tasks.
+
+    A result may read them until the driver ends, which is when what is left of them is deleted.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            self.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -40,9 +50,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
-        """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage.
+
+        Twice, as the first collection frees what holds on to the shuffles.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them; nothing may read it afterwards."""
