@@ -22,6 +22,8 @@ CHUNK_SLOTS = "[CSy]?(?:e{1,3}|[qa])?o?(?:i{1,3}|d)?[ypfklrstTKPFnm]?"
 MOST_CHUNKS = 6
 
 WORD = r"([\p{L}]+)"
+# The patterns of the transliterations' markup.
+TAG, ALTERNATIVES, BREAKS = "<[^>]*>", r"\[([^:\[\]]*)(?::[^\[\]]*)+\]", r"[.\s,;]+"
 
 
 def words(line: Column) -> Column:
@@ -36,12 +38,11 @@ def clean_ivtff(text: Column, comma_break: bool = True, least: int = 1) -> Colum
     anything but a to z is dropped whole. A comma is an uncertain space: it parts words, or with comma_break false it
     joins them.
     """
-    t = F.regexp_replace(text, "<[^>]*>", ".")
-    t = F.regexp_replace(t, r"\[([^:\[\]]*)(?::[^\[\]]*)+\]", "$1")
+    t = F.regexp_replace(F.regexp_replace(text, TAG, "."), ALTERNATIVES, "$1")
     t = F.replace(t, F.lit("!"), F.lit(""))
     if not comma_break:
         t = F.replace(t, F.lit(","), F.lit(""))
-    parts = F.split(F.lower(t), r"[.\s,;]+")
+    parts = F.split(F.lower(t), BREAKS)
     return F.filter(parts, lambda w: w.rlike("^[a-z]+$") & (F.length(w) >= least))
 
 
@@ -50,8 +51,7 @@ def clean_generic(text: Column, comma_break: bool = True) -> Column:
 
     A numbered sign "@123;" stays as one unit; glyphs of such texts are units of "@digits;" or single characters.
     """
-    t = F.regexp_replace(text, "<[^>]*>", ".")
-    t = F.regexp_replace(t, r"\[([^:\[\]]*)(?::[^\[\]]*)+\]", "$1")
+    t = F.regexp_replace(F.regexp_replace(text, TAG, "."), ALTERNATIVES, "$1")
     t = F.regexp_replace(t, "[!{}']", "")
     if not comma_break:
         t = F.replace(t, F.lit(","), F.lit(""))
