@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +65,8 @@ MANDATORY: dict[str, tuple[str, ...]] = {
 # Template words too common in any text to be looked up.
 COMMON = frozenset("a all and any are as at for following in into is it not of or provided that the this to under with you".split())
 
-#: How many of a text's rarest licence words are looked up, and how many of them must agree on a template's place.
-RAREST, AGREE = 8, 3
+#: How many of a template's words must agree on one place: for the full score, and for a candidate.
+FULL, AGREE = 8, 3
 
 
 def _index() -> dict[str, list[tuple[int, int]]]:
@@ -116,13 +114,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, base (positions), base_labels, labels, score, matches.
 
     The texts are read once: words after A-Z became a-z, the number of them, and the few that occur in a template, with
-    their positions, go to a table. The corpus gives these words' document frequencies over all rows. Each text's
-    RAREST words by them are looked up in the templates' postings; template and text position give the place at which
-    the template would begin, and a candidate is a place on which AGREE different words agree (or all that a shorter
+    their positions, go to a table. Every one of them is looked up in the templates' postings, however many there are in
+    a text and however common they are; template and text position give the place at which the template would begin,
+    and a candidate is a place on which AGREE different words agree (or all that a shorter
     template has). A candidate whose label's mandatory phrase isn't in the text is dropped. The vocabulary is fixed, so
-    the index and its frequencies are the same few rows for any corpus.
+    the index is the same few rows for any corpus.
 
-    score: 1 where a base phrase stands; else the largest share of a template's looked-up words that agree.
+    score: 1 where a base phrase stands; else the most words that agree on a place of a template, as a share of FULL or
+    of all that a shorter template has.
 
     docs: doc_id and text are read, others ignored. A null or empty text has no words, no labels and the score 0.
     Repeated rows are scanned each; an empty table gives no rows.
@@ -140,38 +139,22 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = scratch.table(found, "hits")
     some = texts.where(F.size("hits") > 0)
 
-    # at most one row for each word of the fixed vocabulary
-    n = texts.count()
-    seen = {
-        r.w: r.n
-        for r in some.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w"))
-        .groupBy("w")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    }
-    idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) for w in INDEX}
-    order = {w: k for k, w in enumerate(sorted(INDEX, key=lambda w: (-idf[w], w)))}  # 0: rarest
-    rows = [(w, order[w], t, p) for w, posts in INDEX.items() for t, p in posts]
-    postings = docs.sparkSession.createDataFrame(rows, "w string, rank int, template int, p long")
-    sizes = [len({w for w in text.split() if w not in COMMON}) for _, text in TEMPLATES]
-    size_rows = [(t, label, sizes[t], min(AGREE, sizes[t])) for t, (label, _) in enumerate(TEMPLATES)]
+    # a bit for each different word of a template, so that a place's words are counted by one merged number
+    words_of = [list(dict.fromkeys(w for w in text.split() if w not in COMMON)) for _, text in TEMPLATES]
+    rows = [(w, t, p, 1 << words_of[t].index(w)) for w, posts in INDEX.items() for t, p in posts]
+    postings = docs.sparkSession.createDataFrame(rows, "w string, template int, p long, bit long")
+    size_rows = [(t, label, len(words_of[t]), min(AGREE, len(words_of[t]))) for t, (label, _) in enumerate(TEMPLATES)]
     templates = docs.sparkSession.createDataFrame(size_rows, "template int, label string, size int, least int")
 
-    ranks = F.create_map(*(F.lit(x) for w, k in order.items() for x in (w, k)))
-    own = F.array_distinct(F.transform(F.filter("hits", lambda h: h["w"].isin(list(INDEX))), lambda h: h["w"]))
-    rarest = F.slice(F.array_sort(F.transform(own, lambda w: F.element_at(ranks, w))), 1, RAREST)
-    looked_up = some.select("row", rarest.alias("rarest"), F.explode("hits").alias("h")).join(
-        F.broadcast(postings), F.col("h.w") == F.col("w")
-    )
+    looked_up = some.select("row", F.explode("hits").alias("h")).join(F.broadcast(postings), F.col("h.w") == F.col("w"))
     aligned = (
-        looked_up.where(F.array_contains("rarest", F.col("rank")))
-        .groupBy("row", "template", (F.col("h.i") - F.col("p")).alias("place"))
-        .agg(F.count_distinct("w").alias("agree"))
+        looked_up.groupBy("row", "template", (F.col("h.i") - F.col("p")).alias("place"))
+        .agg(F.bit_count(F.bit_or("bit")).alias("agree"))
         .join(F.broadcast(templates), "template")
         .where(F.col("agree") >= F.col("least"))
         .groupBy("row", "label")
         .agg(
-            F.max(F.col("agree") / F.least(F.col("size"), F.lit(RAREST))).alias("share"),
+            F.max(F.least(F.lit(1.0), F.col("agree") / F.least(F.col("size"), F.lit(FULL)))).alias("share"),
             F.count("*").alias("places"),
         )
         .groupBy("row")  # at most one entry for each label

@@ -421,6 +421,15 @@ def test_licences(spark, edges, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_every_notice_of_a_long_text_is_found(spark):
+    own = {t: label for label, t in licenses.TEMPLATES if label in ("bsd", "mpl", "isc", "cc0", "unlicense", "lgpl")}
+    rows = [(1, " filler words ".join(own)), (2, " ".join(licenses.VOCABULARY) + " filler words " + next(t for t in own if own[t] == "mpl"))]
+    rows += [(k, f"plain {w} text") for k, w in enumerate(licenses.VOCABULARY, 10) for _ in range(k % 5)]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert set(own.values()) <= set(got[1].labels) and got[1].score == 1
+    assert "mpl" in got[2].labels and got[2].score == 1
+
+
 # ---- pipeline
 
 
