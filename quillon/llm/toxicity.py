@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_texts
+from quillon.llm.common import Scratch, map_texts
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
@@ -166,7 +166,9 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
     """The bounded sample that the model is fitted on, as fit() takes it; held-out ids are not in it.
 
     The `most_docs` ids with the smallest hash are joined with their texts (the ids' number is the proven bound of what
-    is broadcast), and of these, in the same order, as many as have most_words features together.
+    is broadcast), and of these, in the same order, as many as have most_words features together: sizes are added up in
+    the order of the hash, then the rows up to there are fetched, so the files' order decides nothing. Each repeated row
+    counts as a document.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -180,14 +182,30 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
     feats = map_texts(labelled, _featurise, "doc_id long, toxic int, feats binary, sizes array<int>")
-    out, words = [], 0
     rows = feats.withColumn("n", (F.length("feats") / 4).cast("long"))
     # a document of over a hundredth of the bound would crowd the sample out
-    for row in rows.where(F.col("n") <= most_words // 100).toLocalIterator():
-        out.append((row.doc_id, row.toxic, row.feats, row.sizes))
+    rows = rows.where(F.col("n") <= most_words // 100)
+    scratch = Scratch(docs.sparkSession, "sample")
+    order = ["h", "doc_id", "k"]
+    rows = scratch.table(rows.withColumns({"h": F.xxhash64("doc_id"), "k": F.xxhash64("feats")}), "rows")
+    chosen, words = [], 0
+    for row in rows.select(*order, "n").orderBy(*order).limit(most_docs).collect():
+        chosen.append((row.h, row.doc_id, row.k))
         words += row.n
         if words > most_words:
             break
+    out = []
+    if chosen:
+        h, doc, k = last = chosen[-1]
+        equal = chosen.count(last)  # of rows that are equal to the last, no more than were chosen
+        in_doc = (F.col("doc_id") < doc) | ((F.col("doc_id") == doc) & (F.col("k") <= k))
+        for row in rows.where((F.col("h") < h) | ((F.col("h") == h) & in_doc)).toLocalIterator():
+            if (row.h, row.doc_id, row.k) == last:
+                if not equal:
+                    continue
+                equal -= 1
+            out.append((row.doc_id, row.toxic, row.feats, row.sizes))
+    scratch.drop()
     out.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
     return [(np.split(np.frombuffer(f, dtype="<i4"), np.cumsum(s)[:-1]) if s else [], int(y)) for _, y, f, s in out]
 

@@ -397,6 +397,22 @@ def test_toxicity(spark, nothing):
     assert all(0 <= r.score <= 1 for r in toxicity.score(table(spark, EDGES), model).collect())
 
 
+def test_the_feature_bound_follows_the_hash_not_the_files(spark):
+    rows = [(i, f"aa bb u{i}") for i in range(600)]
+    docs = table(spark, rows).repartitionByRange(6, "doc_id")
+    marks = labels(spark, [(i, 1, i % 2) for i, _ in rows])
+    got = toxicity.sample(docs, marks, most_docs=400, most_words=700)
+    ids = docs.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(400)
+    expected, words = [], 0
+    for r in ids.collect():
+        expected.append(toxicity.word_features(f"u{r.doc_id}")[0])
+        words += sum(len(toxicity.word_features(w)) for w in r.text.split())
+        if words > 700:
+            break
+    assert len(got) == len(expected) < 400
+    assert all(any(k in set(s[0]) for s, _ in got) for k in expected)
+
+
 # ---- licences
 
 
