@@ -15,8 +15,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are within two edits of an earlier one; documents that were nothing else go."""
-    return line_dedup.clean(docs)
+    """Texts without the lines that are within two edits of an earlier one, or under 20 characters and equal to one.
+
+    Documents that were nothing else go.
+    """
+    return line_dedup.clean(docs, short=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,9 +116,11 @@ def within(a: str, b: str, edits: int) -> bool:
     return 0 <= at <= 2 * edits and any(row >> at & 1 for row in rows)
 
 
-def lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def lines(docs: DataFrame, edits: int, least: int, short: bool = False) -> DataFrame:
     """doc_id, line_no, h1, h2 (of the line), n (its characters), keys; for lines of `least` characters or more.
 
+    With `short`, for all lines that aren't blank; those under `least` have no keys.
+
     keys are the probes' keys with the index's own first; null where the task has already sent those of an equal line.
     """
 
@@ -132,11 +134,11 @@ def lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, line in enumerate((text.as_py() or "").split("\n")):
                     line = line.strip(" \t\r\x0b\x0c")
-                    if len(line) < least:
+                    if len(line) < (min(1, least) if short else least):
                         continue
                     digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
                     told = None
-                    if digest not in seen:
+                    if len(line) >= least and digest not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(digest)
@@ -172,11 +174,12 @@ def _later(members: list[tuple], edits: int) -> list[tuple]:
     return list(out)
 
 
-def repeats(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+def repeats(docs: DataFrame, edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
     """One row per line to drop: doc_id, line_no, near (true: an earlier line that differs is near; false: equal only).
 
-    Lines are parted by \\n and stripped of ASCII white space; those of fewer than `least` characters stay and are
-    compared with none. Of equal lines the first in the order of (doc_id, line_no) stays. A line is dropped in all its
+    Lines are parted by \\n and stripped of ASCII white space; those of fewer than `least` characters are
+    compared with none, as two edits are most of such a line; with `short` they go where an earlier line is equal, unless
+    they are blank, and stay otherwise. Of equal lines the first in the order of (doc_id, line_no) stays. A line is dropped in all its
     places if a line that first occurs earlier is within `edits` insertions, deletions and substitutions of it, whether
     or not that one is dropped itself.
 
@@ -191,7 +194,7 @@ def repeats(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
     empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    told = scratch.table(lines(docs, edits, least), "lines")
+    told = scratch.table(lines(docs, edits, least, short), "lines")
     places = F.struct("doc_id", "line_no")
     # equal lines: their first place; counts meet before they are dealt, however common a line is
     distinct = scratch.table(told.groupBy("h1", "h2").agg(F.min(places).alias("first")), "distinct")
@@ -242,9 +245,9 @@ def repeats(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
     ).distinct()
 
 
-def digest(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+def digest(docs: DataFrame, edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
     """One row per distinct doc_id: dropped (line numbers in order), n_near (those near an earlier, different line)."""
-    gone = repeats(docs, edits, least).groupBy("doc_id").agg(
+    gone = repeats(docs, edits, least, short).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("line_no")).alias("dropped"), F.sum(F.col("near").cast("long")).alias("n_near")
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -256,13 +259,13 @@ def digest(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, edits: int = 2, least: int = 20) -> DataFrame:
+def clean(docs: DataFrame, edits: int = 2, least: int = 20, short: bool = False) -> DataFrame:
     """docs without the lines of repeats(), with the same columns; documents left without a word go.
 
     Documents that lose no line stay as they are. n_chars, where there is such a column, follows the text.
     """
     key, gone, text = (fresh(docs, x) for x in ("key", "gone", "text"))
-    lost = repeats(docs, edits, least).groupBy(F.col("doc_id").alias(key)).agg(
+    lost = repeats(docs, edits, least, short).groupBy(F.col("doc_id").alias(key)).agg(
         F.collect_set(F.col("line_no").cast("int")).alias(gone)
     )
     joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost[key]), "left")

@@ -84,7 +84,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(_read(spark, sf_dir, "documents")).select(
+    return line_dedup.digest(_read(spark, sf_dir, "documents"), short=True).select(
         "doc_id",
         F.size("dropped").cast("long").alias("n_dropped"),
         "n_near",

@@ -355,6 +355,27 @@ def test_line_repeats(spark, block, monkeypatch):
             assert (i, t, None if t is None else len(t)) in kept
 
 
+def test_short_lines_that_are_equal_go(spark):
+    rows = [(1, "Read more\n\na line that is quite long enough"), (2, " Read more\n\nRead mare\nShare this page"), (3, "Share this page\nanother line that's long"), (4, "Read more")]
+    df = table(spark, rows)
+    got = {r.doc_id: (list(r.dropped), r.n_near) for r in line_dedup.digest(df, short=True).collect()}
+    assert got == {1: ([], 0), 2: ([0], 0), 3: ([0], 0), 4: ([0], 0)}
+    assert {r.doc_id: r.text for r in line_dedup.clean(df, short=True).collect()} == {
+        1: rows[0][1], 2: "\nRead mare\nShare this page", 3: "another line that's long"
+    }
+
+
+def test_op7_and_the_pipeline_compare_short_lines(spark, tmp_path):
+    import corpus_pipeline as P
+    from quillon.llm import queries
+
+    df = table(spark, [(1, "Read more"), (2, "Read more\nand some words of its own")])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.dropped_lines for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "0"}
+    assert {r.text for r in P.drop_repeated_lines(spark, df, "").collect()} == {"Read more", "and some words of its own"}
+
+
 def test_line_edges(spark, nothing):
     assert line_dedup.repeats(nothing).count() == 0 and line_dedup.clean(nothing).count() == 0
     assert line_dedup.clean(table(spark, EDGES)).columns == nothing.columns
