@@ -194,3 +194,16 @@ def test_base_spans():
     ]
     more = secret_scan.guess_spans("the password is xK9mQ2vL7p, or password is password1", [])
     assert [x[:3] for x in more] == [("guess", 16, 26)]
+
+
+def test_the_cost_decides_for_every_value():
+    def found(text):
+        return [text[a:b] for _, a, b, _ in secret_scan.guess_spans(text, [])]
+
+    assert found("pwd: kT!zQ#wErPm and bearer XkQzPwVbNmTrLs here") == ["kT!zQ#wErPm", "XkQzPwVbNmTrLs"]
+    assert found("auth token = kT!zQ#wErPm") == found("secret password is kT!zQ#wErPm") == ["kT!zQ#wErPm"]
+    assert found("the secret understanding of Token Economies, a PASSWORD PROTECTED well-being, pass 1990-2000") == []
+    assert found("pwd = passwordpassword, pwd = aaaaaaaaaaaa") == []
+    tail = "a" * 1000 + "kT!zQ#wErPm9x"
+    assert found(f"pwd = {tail}") == [tail] and found("pwd = " + "a" * 5000) == []
+    assert found("https://user:XkQzPwVbNm@host") == ["XkQzPwVbNm"]
