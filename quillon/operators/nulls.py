@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.order import WIDTH
+
 
 def draw(seed: str | Column, *parts: str | Column) -> Column:
     """A hash in 32 hexadecimal digits of seed and parts: the order of a shuffle, or a number of uniform()."""
@@ -42,6 +44,23 @@ def permuted(df: DataFrame, within: Sequence[str], value: str, order: Sequence[s
     return slots.join(values, [*within, "slot_"]).drop("slot_")
 
 
+def redealt(df: DataFrame, within: Sequence[str], value: str, order: Sequence[str], seed: str | Column, size: str, width: int = WIDTH) -> DataFrame:
+    """df with the boolean `value` dealt anew inside each group: as many rows have it, those that the hash puts first.
+
+    `size` holds the rows of the row's group. Ranks are sums over ranges of the hash of about `width` rows, and a window
+    inside each range, so a group may be of any size; `order` must be unique in it.
+    """
+    hashed = df.withColumn("hash_", draw(seed, *within, *order))
+    hashed = hashed.withColumn("range_", F.floor(uniform(F.col("hash_")) * F.ceil(F.col(size) / width)))
+    sums = hashed.groupBy(*within, "range_").agg(F.count("*").alias("rows_"), F.count_if(value).alias("true_"))
+    group = Window.partitionBy(*within)
+    earlier = group.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*within, "range_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)).alias("base_"), F.sum("true_").over(group).alias("all_"))
+    rank = F.row_number().over(Window.partitionBy(*within, "range_").orderBy("hash_", *order))
+    ranked = hashed.withColumn("rank_", rank).join(sums, [*within, "range_"])
+    return ranked.withColumn(value, F.col("base_") + F.col("rank_") <= F.col("all_")).drop("hash_", "range_", "rank_", "base_", "all_")
+
+
 def split(df: DataFrame, seed: str, parts: Sequence[str], share: float) -> Column:
     """True for about `share` of the groups named by `parts`, whole groups at a time."""
     return uniform(draw(seed, *parts)) < share

@@ -152,15 +152,15 @@ def pooled_resplit_jsd(spark, sf_dir, reps=10):
     """Divergence of a type's next letters at a line's start and elsewhere, against positions permuted inside the type."""
     p = C.pairs(C.lines(spark, sf_dir), keep=("corpus", "doc_id", "line_no")).where("corpus = 'en'")
     t = p.select(F.col("a").alias("word"), F.substring("b", 1, 1).alias("c"), (F.col("pos") == 0).alias("start"), "doc_id", "line_no", "pos")
-    often = t.groupBy("word").agg(F.count("*").alias("n"), F.count_if("start").alias("k")).where("n >= 100 and k >= 20 and n <= 20000")
-    t = t.join(often.select("word"), "word", "left_semi")
+    often = t.groupBy("word").agg(F.count("*").alias("n"), F.count_if("start").alias("k")).where("n >= 100 and k >= 20")
+    t = t.join(often.select("word", "n"), "word")
 
     def split(df: DataFrame, by: list[str]) -> DataFrame:
         s = df.groupBy(*by, "word", "c").agg(F.count_if("start").cast("double").alias("a"), F.count_if(~F.col("start")).cast("double").alias("b"))
         return stats.jsd(s, [*by, "word"]).groupBy(*by).agg(F.avg("jsd").alias("jsd"))
 
     real = split(t.withColumn("g", F.lit(0)), ["g"]).select(F.col("jsd").alias("real"))
-    dealt = nulls.permuted(nulls.replicates(t, reps), ["rep", "word"], "start", ["doc_id", "line_no", "pos"], "resplit")
+    dealt = nulls.redealt(nulls.replicates(t, reps), ["rep", "word"], "start", ["doc_id", "line_no", "pos"], "resplit", "n")
     null = split(dealt, ["rep"]).crossJoin(F.broadcast(real))
     return null.agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("jsd"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("jsd"), F.col("real")), 6).alias("p"))
 

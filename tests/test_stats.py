@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import order, sequential, stats
+from quillon.operators import nulls, order, sequential, stats
 
 
 def counts(spark, d):
@@ -120,3 +120,22 @@ def test_merges_are_greedy_and_do_not_overlap(spark):
     assert learn_merges(df, 2)[:1] == [("a", "a", 6)]
     got = [r.u for r in df.select(merge_in(F.col("units"), "a", "a").alias("u")).collect()]
     assert got == [["aa", "a", "b"], ["a", "b"]] and sequential.merge_pair(["a", "a", "a", "b"], "a", "a") == got[0]
+
+
+def test_a_hot_type_is_dealt_by_ranges(spark):
+    df = spark.range(900).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7 == 0).alias("x"), F.lit(300).alias("n"))
+    one, many = (nulls.redealt(df, ["g"], "x", ["id"], "s", "n", width) for width in (1000, 9))
+    got = {r.id: r.x for r in one.collect()}
+    assert got == {r.id: r.x for r in many.collect()} and got != {r.id: r.x for r in df.collect()}
+    assert one.groupBy("g").agg(F.count_if("x").alias("k")).exceptAll(df.groupBy("g").agg(F.count_if("x").alias("k"))).count() == 0
+
+
+def test_resplit_takes_the_most_frequent_types(spark, tmp_path):
+    from quillon import catalog
+
+    line = "the " + " ".join(f"the {w}" for w in ("one", "two", "six") * 4)
+    row = (1, "en", "\n".join([line] * 2000))
+    df = spark.createDataFrame([row], "doc_id long, lang string, text string")
+    df.withColumn("source", F.lit("s")).withColumn("quality", F.lit(0.5)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["pooled_resplit_jsd"](spark, str(tmp_path)).first()
+    assert got.real is not None and got.null_mean is not None
