@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Has Spark delete a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written once in the shared folder and read again, so that a lost executor costs only its own tasks.
 
@@ -45,20 +47,16 @@ class Scratch:
             self.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again; the shuffle files of the writing are deleted as soon as it is done."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self) -> None:
-        """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage.
-
-        Twice, as the first collection frees what holds on to the shuffles.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them; nothing may read it afterwards."""
         jvm = self.spark.sparkContext._jvm
@@ -74,11 +72,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def bounded(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Arrow batches of at most `rows` rows from now on: texts are long, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000") or 0) not in range(1, rows + 1):
-        spark.conf.set(key, str(rows))
+def bounded(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Have Arrow batches of at most `rows` rows and, but for a single longer one, `size` bytes.
+
+    Texts are long, and a batch is held several times over. Spark reads these settings when the plan is made, which may
+    be long after this call, so they stay set; smaller ones are left as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        told = spark.conf.get(key).removesuffix("b")
+        if not told.isdigit() or int(told) not in range(1, most + 1):  # another unit, none or too many
+            spark.conf.set(key, str(most))
 
 
 def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -210,7 +210,6 @@ def repeats(docs: DataFrame, edits: int = 2, least: int = 20, short: bool = Fals
     # the keys, and the shuffle that they went through, have served
     told = scratch.table(told.drop("keys"), "rows")
     scratch.drop("lines")
-    scratch.settle()
 
     wanted = distinct.join(multi.select(F.col("line").alias("h1")).distinct(), "h1", "left_semi")
     wanted = wanted.select(F.col("h1").alias("line"), "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))

@@ -277,7 +277,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     full = scratch.table(full, "full")
     scratch.drop("features")
-    scratch.settle()
     keyed = full.select("node", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     multi = keyed.select("key", "node", F.first("node").over(order).alias("pivot"), F.lead("node").over(order).alias("next"))
@@ -286,7 +285,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     nodes = scratch.table(full.drop("keys"), "nodes")
     slim = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
     scratch.drop("full")
-    scratch.settle()
 
     def sized(pairs: DataFrame) -> DataFrame:
         a = slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))

@@ -24,6 +24,9 @@ MEASURES: dict[str, tuple[str, bool]] = {
 }
 #: Buckets of a sketch: exact below 64, then 32 a doubling, so a value is known to about 3 %; fewer than 600 in all.
 EXACT, PER_DOUBLING = 64, 32
+#: The least spread of a measure that a fence counts with, in its own unit: where most documents have none of something,
+#: the quartiles are equal, and a stray symbol or one repeated phrase is no outlier. Word lengths always spread.
+MARGIN = {"symbols": 500, "dup_lines": 750, "repeats": 2_500, "word_length": 0}
 #: Groups of fewer documents take the thresholds of their language, and these, if too few, those of all.
 LEAST = 200
 
@@ -100,12 +103,14 @@ def sketches(feats: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, reach: int = 4) -> DataFrame:
+def thresholds(sketch: DataFrame, reach: int = 4, margin: dict[str, int] | None = None) -> DataFrame:
     """Fences by (lang, source, measure): quartiles of the group's sketch and `reach` times their distance beyond them.
 
+    The distance counts as an eighth of the upper quartile, or the measure's margin, if it is smaller than these.
     A group of fewer than LEAST documents merges upward: its language's sketch, else that of all documents. The work is
     on sketches alone, at most 600 rows for each group and measure.
     """
+    margins = F.create_map(*(F.lit(x) for kv in (MARGIN if margin is None else margin).items() for x in kv))
     whole = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     every = whole.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
 
@@ -130,7 +135,7 @@ def thresholds(sketch: DataFrame, reach: int = 4) -> DataFrame:
             return upper_end(found["b"])
 
         quart = folded.select(*keys, "measure", "total", quantile(1).alias("q1"), quantile(3).alias("q3"))
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.floor(F.col("q3") / 8))
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.floor(F.col("q3") / 8), margins[F.col("measure")])
         return quart.select(
             *keys,
             "measure",
@@ -153,35 +158,44 @@ def thresholds(sketch: DataFrame, reach: int = 4) -> DataFrame:
     return joined.select("lang", "source", "measure", chosen.alias("fence"))
 
 
-#: However even a group is, rates below these (and, for the last, above it) are never an outlier: the sketch's 3 %, and
-#: what a stray symbol or a repeated phrase amounts to.
-HARMLESS = {"symbols": (-1, 2_000), "dup_lines": (-1, 3_000), "repeats": (-1, 35_000), "word_length": (2_000, 12_000)}
+#: Groups of (lang, source) up to which their fences, about 100 bytes each, are sent to all; more are joined by salted keys.
+MOST_SENT = 50_000
+SALTS = 32
 
 
-def judge(docs: DataFrame, reach: int = 4) -> DataFrame:
+def _with_fences(feats: DataFrame, fences: DataFrame) -> DataFrame:
+    """feats with the fences of their group, without dealing all rows of a group to one task."""
+    if fences.count() <= MOST_SENT:
+        return feats.join(F.broadcast(fences), ["lang", "source"], "left")
+    salted = fences.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = feats.withColumn("salt_", F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["lang", "source", "salt_"], "left").drop("salt_")
+
+
+def judge(docs: DataFrame, reach: int = 4, margin: dict[str, int] | None = None) -> DataFrame:
     """One row per document: FEATURES, base_failed, kept, and `failed`, the measures outside their group's fences.
 
     base_failed: fewer than 50 words, or over half of the words in 3-word windows that the text repeats. kept: not
     base_failed and no measure outside the fences.
 
     The texts are read once; the features, a few numbers a document, are written to the shared folder and joined with
-    the fences of their language and source. Fences are joined, not sent to all, unless Spark finds them small: sources
-    may grow with the data.
+    the fences of their language and source. Up to MOST_SENT groups, which are counted first, the fences are sent to
+    all; beyond, both sides are joined by group and salt, so that a source with a third of all rows is many tasks.
 
     docs: doc_id, lang, source, text; others are ignored. A null lang or source is a group of its own, with the empty
     string. A null or empty text has no words and fails the base rule; it isn't in any sketch. Repeated rows are judged
     each. An empty table gives no rows.
     """
-    feats = Scratch(docs.sparkSession, "quality").table(features(docs), "features")
-    wide = thresholds(sketches(feats), reach).groupBy("lang", "source").agg(
+    scratch = Scratch(docs.sparkSession, "quality")
+    feats = scratch.table(features(docs), "features")
+    wide = thresholds(sketches(feats), reach, margin).groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"f_{m}") for m in MEASURES)
     )
-    joined = feats.join(wide, ["lang", "source"], "left")
+    joined = _with_fences(feats, scratch.table(wide, "fences"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     outside = [
         F.when(
-            (F.expr(e) > F.greatest(F.col(f"f_{m}.high"), F.lit(HARMLESS[m][1])))
-            | (F.lit(two) & (F.expr(e) < F.least(F.col(f"f_{m}.low"), F.lit(HARMLESS[m][0])))),
+            (F.expr(e) > F.col(f"f_{m}.high")) | (F.lit(two) & (F.expr(e) < F.col(f"f_{m}.low"))),
             F.lit(m),
         )
         for m, (e, two) in MEASURES.items()

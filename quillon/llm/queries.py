@@ -177,13 +177,13 @@ q as (
          case when own.total >= 200 then own.q1 when bl.total >= 200 then bl.q1 else ev.q1 end as q1,
          case when own.total >= 200 then own.q3 when bl.total >= 200 then bl.q3 else ev.q3 end as q3
   from own left join bl using (lang, measure) left join ev using (measure)),
+z as (select *, greatest(q3 - q1, q3 // 8, map {'symbols': 500, 'dup_lines': 750, 'repeats': 2500, 'word_length': 0}[measure]) as spread from q),
 x as (
-  select b.doc_id, b.measure, v, q1 - 4 * greatest(q3 - q1, q3 // 8) as low, q3 + 4 * greatest(q3 - q1, q3 // 8) as high,
-         map {'symbols': 2000, 'dup_lines': 3000, 'repeats': 35000, 'word_length': 12000}[b.measure] as most
-  from b left join q on q.lang = b.lang and q.source = b.source and q.measure = b.measure),
+  select b.doc_id, b.measure, v, q1 - 4 * spread as low, q3 + 4 * spread as high
+  from b left join z on z.lang = b.lang and z.source = b.source and z.measure = b.measure),
 y as (
   select doc_id, string_agg(measure, ',' order by array_position(['symbols', 'dup_lines', 'repeats', 'word_length'], measure)) as failed
-  from x where v > greatest(high, most) or measure = 'word_length' and v < least(low, 2000) group by doc_id)
+  from x where v > high or measure = 'word_length' and v < low group by doc_id)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and failed is null as kept, coalesce(failed, '') as failed
 from f left join y using (doc_id)"""

@@ -153,6 +153,22 @@ def test_thresholds_follow_language_and_source(spark):
     assert sum(x.kept for i, x in got.items() if i < 5000) >= 595
 
 
+def test_the_sketch_decides_and_salted_fences_are_the_same(spark, edges, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.choice([4, 5, 6]))) for _ in range(3000)]
+    rows = [(i, " ".join(r.sample(words, 80)), "en", "prose") for i in range(300)]
+    rows.append((9000, " ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(80)), "en", "prose"))
+    rows.append((9001, " ".join(r.sample(words, 60) + words[:10] * 2), "en", "prose"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.judge(df).collect()}
+    assert got[9000].failed == ["word_length"] and got[9001].failed == ["repeats"]
+    assert all(x.kept for i, x in got.items() if i < 9000)
+    both = df.unionByName(edges.select(df.columns))
+    sent = quality.judge(both).collect()
+    monkeypatch.setattr(quality, "MOST_SENT", 0)
+    same(quality.judge(both).collect(), sent)
+
+
 def test_sketch_buckets_hold_their_values(spark):
     df = spark.range(0, 300_000, 7).select("id", quality.bucket(F.col("id")).alias("b"))
     df = df.select("id", "b", quality.upper_end(F.col("b")).alias("e"))
