@@ -108,6 +108,34 @@ def map_texts(rows: DataFrame, task: Callable[[Iterator], Iterator], schema) ->
     return rows.mapInArrow(tidy(task), schema)
 
 
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """rows left-joined with found, which has one row for each value of `keys` and says in `copies` how many rows have it.
+
+    Values that more than 100,000 rows, and more than a hundred-thousandth of all, have are sent to all instead of
+    dealing their rows to one task; there can't be more than 100,000 such values.
+    """
+    total = found.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) > max(100_000, total // 100_000)
+    rest, sent = found.where(~hot).drop(copies), found.where(hot).drop(copies)
+    if sent.isEmpty():
+        return rows.join(found.drop(copies), keys, "left")
+    sent = F.broadcast(sent)
+    others = rows.join(F.broadcast(found.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(sent, keys).unionByName(others.join(rest, keys, "left"))
+
+
+def attach(pairs: DataFrame, side: str, other: str, table: DataFrame, scratch: Scratch, most: int = 512) -> DataFrame:
+    """pairs joined with table (one row for each node in `side`), a node of more than `most` pairs in as many tasks as it needs."""
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / most).cast("int").alias("parts_")).where("parts_ > 1")
+    many = scratch.table(many, f"many_{uuid.uuid4().hex[:8]}")
+    if many.isEmpty():
+        return pairs.join(table, side)
+    parts = F.coalesce("parts_", F.lit(1))
+    dealt = pairs.join(many, side, "left").withColumn("salt_", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts_")
+    held = table.join(many, side, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts_")
+    return dealt.join(held, [side, "salt_"]).drop("salt_")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm import blocks, graph
-from quillon.llm.common import Scratch, fresh, map_texts
+from quillon.llm.common import Scratch, attach, fresh, lookup, map_texts
 
 #: Rounds in which each node is compared with single members of its keys, before all remaining pairs are.
 ROUNDS = 2
+#: Keys of more nodes than this, in several components, are given up for rarer ones, at most so many times over; what
+#: is still left of them then is compared by blocks.
+HOT, HOT_ROUNDS = 4096, 4
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 
@@ -87,31 +92,69 @@ class Rule:
             low = high
         return out
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """Pigeonhole keys: two sets that link have one in common.
+    @lru_cache(maxsize=4096)  # noqa: B019 (rules are few and small)
+    def layout(self, low: int, high: int, n: int) -> tuple[int, int]:
+        """Segments in a band, and how many of them a set of n elements offers as keys there.
 
-        In a band every pair differs in at most d shingles. Shingles fall by hash into d + 1 + s segments, each with a
-        parity sketch of 2 ** 16 bits, kept as the XOR of a code for each set bit: equal sketches have equal codes, and
-        a pair's sketches differ in at most d segments, so s + 1 or more are equal. Each set leaves out its s segments
-        of the fewest shingles, which tell least; as equal segments rank alike in both sets, the highest-ranking of the
-        s + 1 equal ones is left out by neither.
+        With d the largest difference of any pair of the band, there are half as many again as d + 1 segments; small
+        bands have more, so that the chance that a smallest set fills no more segments than it may differ in is below a
+        millionth.
+        """
+        d = int(self.most_apart(high - 1, self.partner(high - 1)))
+        m = d + 1 + (d + 1) // 2 if d else 1
+        least = int(self.most_apart(low, self.partner(low))) or int(d > 0)
+        if least:
+            # sets of `low` elements that fall into `least` of m segments: about m ** (least - low) * least ** low / least!
+            spare = max(1, low - least)
+            bits = (20 * math.log(2) + low * math.log(least) - math.lgamma(least + 1)) / spare
+            m = max(m, int(min(math.exp(min(bits, 12)), 1 << 16)))
+        own = self.partner(n) if n < high else n
+        return m, int(self.most_apart(min(n, high - 1), own)) + 1
+
+    def ranked(self, h: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each band of the set: its segments as keys, the fullest first, and how many of them it offers.
+
+        Shingles fall by hash into m segments, each with a parity sketch of 2 ** 32 bits, kept as the XOR of a code for
+        each set bit: equal sketches have equal codes. A pair that differs in D shingles has at least m - D segments
+        alike, which rank alike in both sets, so the first of them has m - D - 1 after it in both. A set that can
+        differ in at most a >= D shingles from any partner may leave out its last m - 1 - a segments: the pair's first
+        like segment is in both sets' first a + 1. An empty segment is a key only in a set that fills no more than a.
         """
         out = []
         with np.errstate(over="ignore"):
             for low, high in self.bands(len(h)):
-                d = int(self.most_apart(high - 1, self.partner(high - 1)))
-                skip = (d + 1) // 8
-                m = d + 1 + skip
+                m, keep = self.layout(low, high, len(h))
                 x = mix(h + U(low) * U(0xD6E8FEB86659FD93))
                 segment = ((x >> U(32)) * U(m)) >> U(32)
-                bit = x & U(0xFFFF)
-                code = np.zeros(m, dtype=U)
-                np.bitwise_xor.at(code, segment.astype(np.int64), mix((segment << U(16)) | bit))
-                size = np.bincount(segment.astype(np.int64), minlength=m)
-                kept = np.lexsort((code, size))[skip:]
-                out.append(mix(mix(code[kept] + kept.astype(U) * U(0x9E3779B97F4A7C15)) + U(low)))
+                order = np.argsort(segment)
+                segment, bit = segment[order], (x & U(0xFFFFFFFF))[order]
+                first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                code = np.bitwise_xor.reduceat(mix((segment << U(32)) | bit), first)
+                size = np.diff(np.append(first, len(segment)))
+                at = segment[first]
+                by = np.lexsort((at, code, size))[::-1]
+                at, code = at[by], code[by]
+                if len(at) < keep:
+                    empty = np.setdiff1d(np.arange(m, dtype=U), at)[::-1][: keep - len(at)]
+                    at, code = np.concatenate([at, empty]), np.concatenate([code, np.zeros(len(empty), dtype=U)])
+                out.append((mix(mix(code + at * U(0x9E3779B97F4A7C15)) + U(low)), keep))
+        return out
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Pigeonhole keys: two sets that link have one in common."""
+        out = [k[:keep] for k, keep in self.ranked(h)]
         return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
+    def rarer(self, h: np.ndarray, hot: set[int]) -> tuple[list[int], list[int]]:
+        """Keys if those in `hot` rank last in every set: the others, and the hot ones without which there are too few."""
+        out: tuple[list[int], list[int]] = [], []
+        for k, keep in self.ranked(h):
+            told = k.view(np.int64).tolist()
+            others = [x for x in told if x not in hot][:keep]
+            out[0].extend(others)
+            out[1].extend([x for x in told if x in hot][: keep - len(others)])
+        return out
+
     def sketch(self, h: np.ndarray) -> bytes:
         """The whole set's parity sketch, 16 bits for each element of the largest difference: folds by XOR of halves."""
         bits = 256
@@ -202,12 +245,61 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     return map_texts(own.join(ids, "node", "left_semi"), task, "node long, elements array<long>")
 
 
+def _rarer(docs: DataFrame, hot: DataFrame, rule: Rule) -> DataFrame:
+    """(node, key, short) for the nodes of hot (node, hot: their keys to be given up): Rule.rarer() of their texts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for batch in batches:
+            rows = []
+            for node, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                for short, keys in enumerate(rule.rarer(shingles(text.as_py(), rule.words, hashes), set(gone))):
+                    rows += [(node, k, bool(short)) for k in keys]
+            if rows:
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "key", "short"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    return map_texts(own.join(hot, "node").select("node", "text", "hot"), task, "node long, key long, short boolean").distinct()
+
+
+def _without_hot(placed: DataFrame, keyed: DataFrame, comps: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(key, node, comp): placed, in which keys of over HOT nodes have been given up for rarer ones of the same sets.
+
+    If all sets rank the hot keys last, linked sets still have a key in common among those that each then offers. The
+    sets that offered a hot key offer the next ones instead, which are put together with all sets that have them; a
+    key that turns out hot by this is given up as well. Only sets with too few other keys are left in a hot one.
+    """
+    known, short = None, None
+    for step in range(HOT_ROUNDS):
+        large = scratch.table(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), f"large{step}")
+        if large.isEmpty():
+            break
+        gone = scratch.table(placed.join(large, "key", "left_semi").select("node", "key"), f"gone{step}")
+        known = gone if known is None else known.unionByName(gone)
+        todo = known.join(gone.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("hot"))
+        offered = scratch.table(_rarer(docs, scratch.table(todo, f"todo{step}"), rule), f"offered{step}")
+        left = offered.where("short").select("key", "node")
+        short = left if short is None else short.unionByName(left)
+        new = offered.where("not short").select("key", "node")
+        # put together with all that have these keys, hot ones of earlier rounds included: they turn out hot again
+        own = keyed.join(new.select("key").distinct(), "key", "left_semi").select("key", "node")
+        more = new.unionByName(own).distinct().join(comps, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        rest = placed.join(large, "key", "left_anti").unionByName(more).distinct()
+        mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        placed = scratch.table(rest.join(mixed.select("key"), "key").select("key", "node", "comp"), f"rarer{step}")
+    if short is not None:
+        left = short.distinct().join(comps, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        placed = scratch.table(placed.unionByName(left).distinct(), "placed")
+    return placed
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose sets link, by the sets themselves."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = scratch.table(_sets(docs, ids, rule), f"{name}_sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+    both = attach(pairs.select("a", "b"), "a", "b", sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), scratch)
+    both = attach(both, "b", "a", sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), scratch)
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     out = scratch.table(both.where(100 * shared >= rule.percent * union).select("a", "b").distinct(), name)
@@ -260,12 +352,17 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
        a group of any size gives one candidate for each member and key. Sketches whose Hamming distance is over the
        largest allowed difference end a candidate. Of the rest each node has two verified on the sets, and components
        are formed.
-    3. Keys whose nodes are in different components are looked at again by pairs of blocks: all remaining pairs that
-       sizes and sketches allow are verified, and components are joined. No link between components is left out.
+    3. Keys whose nodes are in different components are looked at again. Those of over HOT nodes, which a passage that
+       many texts share makes, are given up for rarer ones of the same sets. Then, by pairs of blocks, all remaining
+       pairs that sizes and sketches allow are verified, and components are joined. No link between components is left
+       out.
+
+    A node of many candidates is verified in as many tasks as it needs, and a set that very many rows have is sent to
+    all in the end, so no task grows with a group.
 
     docs: doc_id and text are read, others ignored. A null or empty text has no shingles and its own doc_id as
-    component. Rows with equal doc_id and text are one document; rows with a null doc_id link with nothing and have a
-    null component. An empty table gives no rows.
+    component. Rows with an equal doc_id are one node: they link where any of their texts does. Rows with a null doc_id
+    link with nothing and have a null component. An empty table gives no rows.
     """
     rule = Rule(words, percent)
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -273,7 +370,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     feats = scratch.table(features(docs, rule), "features")
     rows = scratch.table(feats.select("doc_id", "n", "h1", "h2"), "rows")
     full = feats.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(
-        F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
     )
     full = scratch.table(full, "full")
     scratch.drop("features")
@@ -281,15 +378,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     multi = keyed.select("key", "node", F.first("node").over(order).alias("pivot"), F.lead("node").over(order).alias("next"))
     multi = scratch.table(multi.where("node <> pivot or next is not null").select("key", "node", "pivot"), "multi")
-
-    nodes = scratch.table(full.drop("keys"), "nodes")
-    slim = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch"))
-    scratch.drop("full")
+    slim = full.select("node", "n", "sketch")
 
     def sized(pairs: DataFrame) -> DataFrame:
         a = slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(_bound(rule))
+        return attach(attach(pairs, "a", "b", a, scratch), "b", "a", b, scratch).where(_bound(rule))
 
     def chosen(pairs: DataFrame, name: str) -> DataFrame:
         """Of the candidates that sizes and sketches allow, each node's nearest and the one that most nodes share."""
@@ -315,6 +409,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         placed = placed.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         placed = scratch.table(placed.join(mixed.select("key"), "key").select("key", "node", "comp"), f"rest{step}")
+    placed = _without_hot(placed, keyed, comps, docs, rule, scratch)
     met = blocks.paired(placed.join(slim, "node").select("key", "node", "comp", "n", "sketch"), "key", "node")
     near = blocks.each_group(
         met.withColumns({"low_": F.col("low"), "high_": F.col("high")}),
@@ -328,11 +423,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if not more.isEmpty():
         comps = graph.components(links.unionByName(more), scratch, "cc")
 
-    found = nodes.select("h1", "h2", "n", "node").join(comps, "node", "left")
-    found = found.select("h1", "h2", "n", F.coalesce("root", "node").alias("component"))
-    return rows.join(found, ["h1", "h2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    )
+    found = full.select("h1", "h2", "n", "node", "copies").join(comps, "node", "left")
+    found = scratch.table(found.select("h1", "h2", "n", "copies", F.coalesce("root", "node").alias("component")), "found")
+    told = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    linked = lookup(rows.where(told), found, ["h1", "h2", "n"], "copies").select("doc_id", "n", "component")
+    alone = rows.where(~told).select("doc_id", "n", F.col("doc_id").alias("component"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def clean(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -48,7 +48,7 @@ def items(spark, rows):
 
 def same(df, expected):
     """Equal rows in any order."""
-    assert sorted(map(repr, df)) == sorted(map(repr, expected))
+    assert sorted(repr(tuple(x)) for x in df) == sorted(repr(tuple(x)) for x in expected)
 
 
 # ---- packing
@@ -296,6 +296,48 @@ def test_keys_meet_for_every_link():
                 assert set(rule.keys(x).tolist()) & set(rule.keys(y).tolist())
 
 
+def test_unrelated_sets_share_almost_no_keys():
+    """Candidates grow with the rows, not with their square."""
+    import numpy as np
+
+    for words, percent in ((5, 80), (4, 85), (2, 60)):
+        rule = ngram_join.Rule(words, percent)
+        for n in (4, 7, 12, 30, 100):
+            pairs = []
+            for many in (2000, 4000):
+                r = np.random.default_rng(n)
+                at = Counter(k for _ in range(many) for k in set(rule.keys(np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))).tolist()))
+                pairs.append(sum(c * (c - 1) // 2 for c in at.values()))
+            assert pairs[1] <= 10 and max(at.values()) <= 3, (words, percent, n, pairs)
+
+
+@pytest.mark.parametrize("hot", [3, 12])
+def test_jaccard_gives_hot_keys_up_for_rarer_ones(spark, hot, monkeypatch):
+    r = random.Random(2)
+    passage = [f"p{k}" for k in range(30)]
+    rows = near_copies(21, groups=6, copies=6)
+    for i in range(60):  # texts that share a passage, and near copies of some of them
+        own = [f"t{i}_{k}" for k in range(r.randint(2, 60))]
+        text = own[: len(own) // 2] + passage + own[len(own) // 2 :]
+        rows.append((500 + i, " ".join(text)))
+        if i % 4 == 0:
+            rows.append((700 + i, " ".join([*text, "more"])))
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    got = {x.doc_id: x.component_id for x in ngram_join.components(table(spark, rows), 4, 85).collect()}
+    assert got == plain_components(rows, 4, 85)
+
+
+def test_hot_sets_and_hot_nodes_are_the_same(spark, monkeypatch):
+    from quillon.llm import common
+
+    df = spark.createDataFrame([(i, i % 7, i % 2) for i in range(200)], "a long, b long, k long")
+    side = spark.createDataFrame([(i, str(i)) for i in range(7)], "b long, v string")
+    same(common.attach(df, "b", "a", side, Scratch(spark, "t"), most=5).select("a", "b", "k", "v").collect(), df.join(side, "b").select("a", "b", "k", "v").collect())
+    found = spark.createDataFrame([(0, 200_000, "x"), (1, 5, "y")], "k long, copies long, c string")
+    same(common.lookup(df, found, ["k"], "copies").select("a", "c").collect(), [(x.a, "xy"[x.k]) for x in df.collect()])
+
+
 def test_graph(spark):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(200, 300)] + [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(5, 5), (9, 2)]
