@@ -84,7 +84,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(_read(spark, sf_dir, "documents"), short=True).select(
+    return line_dedup.digest(_read(spark, sf_dir, "documents")).select(
         "doc_id",
         F.size("dropped").cast("long").alias("n_dropped"),
         "n_near",
@@ -234,10 +234,32 @@ reach as (select doc_id, doc_id as r from w union select reach.doc_id, links.b f
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.r as component_id
 from w left join n using (doc_id) join (select doc_id, min(r) as r from reach group by doc_id) m using (doc_id)"""
 
+#: DuckDB's levenshtein counts bytes, so other letters than ASCII are first written as unused ASCII characters.
+OP7_SQL = r"""
+with l as (
+  select doc_id, no - 1 as line_no, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line
+  from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as no from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))),
+k as (select line, min({'d': doc_id, 'n': line_no}) as first, length(line) as len from l where line <> '' group by line),
+c as (select distinct unnest(string_split(line, '')) as c from k),
+far as (select c, row_number() over (order by c) as i from c where unicode(c) > 127),
+free as (select x, row_number() over (order by x) as i from (select unnest(range(1, 128)) as x) where chr(x::int) not in (select c from c)),
+t as (select coalesce(string_agg(c, '' order by i), '') as f, coalesce(string_agg(chr(x::int), '' order by i), '') as g from far left join free using (i)),
+p as (select k.*, translate(line, f, g) as s from k, t where len >= 10),
+q as (select *, unnest([-2, -1, 0, 1, 2]) as shift from p),
+near as (
+  select distinct q.line from q join p on p.len = q.len + q.shift
+  where p.first < q.first and abs(shift) <= least(p.len, q.len) // 10 and levenshtein(p.s, q.s) <= least(2, least(p.len, q.len) // 10)),
+gone as (
+  select l.doc_id, l.line_no, near.line is not null as near from l join k using (line) left join near on near.line = l.line
+  where near.line is not null or l.doc_id <> first.d or l.line_no <> first.n)
+select d.doc_id, count(gone.doc_id) as n_dropped, count(*) filter (near) as n_near, coalesce(string_agg(line_no::varchar, ',' order by line_no), '') as dropped_lines
+from (select distinct doc_id from documents) d left join gone using (doc_id) group by d.doc_id"""
+
 #: Queries that train, tokenise or judge by a method SQL lacks are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
 }

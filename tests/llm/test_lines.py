@@ -1,5 +1,6 @@
 """The edit join's parts against plain edit distance."""
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,16 +34,22 @@ def test_within_long(a, edits, data):
 
 
 @settings(max_examples=1500)
-@given(a=SHORT, edits=st.integers(0, 3), data=st.data())
+@given(a=st.text(alphabet=st.sampled_from("abé"), min_size=10, max_size=34), edits=st.integers(1, 3), data=st.data())
 def test_near_lines_share_a_key(a, edits, data):
     b = a
     for _ in range(edits):
         at = data.draw(st.integers(0, len(b)))
         b = b[:at] + data.draw(st.sampled_from(["", "a", "é"])) + b[at + data.draw(st.integers(0, 1)) :]
-    if not b or min(len(a), len(b)) <= edits:
-        return
     short, long = sorted((a, b), key=len)
-    own, _ = line_dedup.keys(short, edits, {})
-    _, looked = line_dedup.keys(long, edits, {})
-    assert set(own) & set(looked)
-    assert set(line_dedup.keys(a, edits, {})[0]) <= set(line_dedup.keys(a, edits, {})[1])
+    if distance(a, b) > line_dedup.tolerance(len(short), edits):
+        return
+    found, counts = line_dedup.keys([short, long], [line_dedup.whole(len(x), edits) for x in (short, long)])
+    one, two = (x.tolist() for x in np.split(found, counts[:1]))
+    assert {x for x in one if x & 1} & {x | 1 for x in two}
+    for x, own in ((short, one), (long, two)):
+        assert sum(k & 1 for k in own) == line_dedup.tolerance(len(x), edits) + 1
+
+
+def test_bags_differ_by_at_most_two_for_each_edit():
+    x, y = line_dedup.bags(["abcé", "abxéy"])
+    assert abs(x - y).sum() == 3

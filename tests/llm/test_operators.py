@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, decontam, graph, licenses, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity
@@ -359,29 +360,38 @@ def test_graph(spark):
     assert graph.components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def plain_repeats(rows, edits, least):
+def plain_repeats(rows, edits=2):
+    """(doc_id, text) to the lines that go; a null id comes first, then ids, then Spark's hashes of the texts."""
+    def place(i, t):
+        h = xxhash.xxh64_intdigest((t or "").encode(), seed=42)
+        return (i is not None, i or 0, h - (h >> 63 << 64) if t is not None else 42)
+
     first, places = {}, defaultdict(list)
-    for i, t in sorted({(i, t) for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0)):
+    for i, t in sorted(set(rows), key=lambda x: place(*x)):
         for no, line in enumerate((t or "").split("\n")):
             line = line.strip(" \t\r\x0b\x0c")
-            if len(line) >= least:
-                first.setdefault(line, ((i is not None, i or 0), no))
-                places[line].append((i, no))
+            if line:
+                first.setdefault(line, (place(i, t), no))
+                places[line].append((i, t, no))
     order, near = sorted(first, key=first.get), set()
     for k, line in enumerate(order):
-        if any(line_dedup.within(o, line, edits) for o in order[:k] if abs(len(o) - len(line)) <= edits):
-            near.add(line)
+        for o in order[:k]:
+            most = min(edits, min(len(o), len(line)) // 10)
+            if most and abs(len(o) - len(line)) <= most and line_dedup.within(o, line, most):
+                near.add(line)
+                break
     gone = defaultdict(set)
     for line, at in places.items():
-        for i, no in at:
-            if line in near or ((i is not None, i or 0), no) != first[line]:
-                gone[i].add(no)
+        for i, t, no in at:
+            if line in near or (place(i, t), no) != first[line]:
+                gone[i, t].add(no)
     return gone
 
 
 def lined_rows():
     r, rows = random.Random(8), []
-    pool = ["".join(r.choices("abcde fé", k=r.randint(10, 60))) for _ in range(60)]
+    pool = ["".join(r.choices("abcde fé", k=r.choice([r.randint(1, 9), r.randint(10, 24), r.randint(20, 60)]))) for _ in range(60)]
+    pool += [f"{k % 7} the common head of {k % 11} lines and their {k % 5} end" for k in range(90)]
     for i in range(120):
         lines = []
         for _ in range(r.randint(0, 6)):
@@ -394,33 +404,37 @@ def lined_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_line_repeats(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(1024, 4096), (3, 4096), (1024, 6), (4, 2)])
+def test_line_repeats(spark, block, hot, monkeypatch):
     from quillon.llm import blocks
 
     monkeypatch.setattr(blocks.paired, "__defaults__", (block,))
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rows = [*lined_rows(), *((1000 + k if i else i, t) for k, (i, t) in enumerate(EDGES))]
+    rows += [(5, "other text, equal id\nand a line of it"), (5, "and a line of it\nother texts, equal id")]
     df = table(spark, rows)
-    got = {r.doc_id: set(r.dropped) for r in line_dedup.digest(df).collect()}
-    expected = plain_repeats(rows, 2, 20)
-    assert got == {i: expected.get(i, set()) for i, _ in rows}
-    kept = {(r.doc_id, r.text, r.n_chars) for r in line_dedup.clean(df).collect()}
+    expected = plain_repeats(rows)
+    got = Counter((r.doc_id, tuple(r.dropped)) for r in line_dedup.digest(df).collect())
+    assert got == Counter((i, tuple(sorted(expected.get((i, t), ())))) for i, t in set(rows))
+    kept = Counter((r.doc_id, r.text, r.n_chars) for r in line_dedup.clean(df).collect())
+    left = Counter()
     for i, t in rows:
-        left = "\n".join(x for no, x in enumerate((t or "").split("\n")) if no not in expected.get(i, ()))
-        if expected.get(i):
-            assert ((i, left, len(left)) in kept) == bool(re.search(r"[^\x20\x09-\x0D]", left))
+        if expected.get((i, t)):
+            own = "\n".join(x for no, x in enumerate(t.split("\n")) if no not in expected[i, t])
+            if re.search(r"[^\x20\x09-\x0D]", own):
+                left[i, own, len(own)] += 1
         else:
-            assert (i, t, None if t is None else len(t)) in kept
+            left[i, t, None if t is None else len(t)] += 1
+    assert kept == left
 
 
 def test_short_lines_that_are_equal_go(spark):
-    rows = [(1, "Read more\n\na line that is quite long enough"), (2, " Read more\n\nRead mare\nShare this page"), (3, "Share this page\nanother line that's long"), (4, "Read more")]
-    df = table(spark, rows)
-    got = {r.doc_id: (list(r.dropped), r.n_near) for r in line_dedup.digest(df, short=True).collect()}
+    rows = [(1, "Read more\n\na line that is quite long enough"), (2, " Read more\n\nRead mare\nShare this page"), (3, "Share this page\nanother line that's long"), (4, "Read more\nShare that page\nShare the page")]
+    got = {r.doc_id: (list(r.dropped), r.n_near) for r in line_dedup.digest(table(spark, rows)).collect()}
     assert got == {1: ([], 0), 2: ([0], 0), 3: ([0], 0), 4: ([0], 0)}
-    assert {r.doc_id: r.text for r in line_dedup.clean(df, short=True).collect()} == {
-        1: rows[0][1], 2: "\nRead mare\nShare this page", 3: "another line that's long"
-    }
+    rows.append((5, "Share this pages"))
+    got = {r.doc_id: (list(r.dropped), r.n_near) for r in line_dedup.digest(table(spark, rows)).collect()}
+    assert got[5] == ([0], 1)
 
 
 def test_op7_and_the_pipeline_compare_short_lines(spark, tmp_path):
