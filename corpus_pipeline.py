@@ -15,11 +15,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are within two edits of an earlier one, or under 20 characters and equal to one.
+    """Texts without the lines that are equal to an earlier one or, by one edit for ten characters, within two of it.
 
     Documents that were nothing else go.
     """
-    return line_dedup.clean(docs, short=True)
+    return line_dedup.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
