@@ -108,12 +108,17 @@ def test_scan_in_blocks_is_the_same(spark, edges, monkeypatch):
 # ---- conversations
 
 
-def test_chat(spark):
+@pytest.mark.parametrize("most", [1 << 18, -1, 60])
+def test_chat(spark, most):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", None), (1, 2, "user", None), (1, 3, "assistant", "##\n</"), (1, 4, "user", "bye"),
             (2, None, None, "x"), (2, 1, "assistant", ""), (None, 0, "assistant", "orphan"), (3, 0, "a\nb", "only user")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, example int")
-    examples = chat.expand(df)
+    examples = chat.expand(df, most_context=most)
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, -1 if r[1] is None else r[1]))
+    if most > 1000:
+        for r in examples.where("conv_id = 1").collect():  # every example begins with the first turn
+            assert r.context_chars == 0 and [t for _, t, _, _ in chat.parse(r.text)][0] == said
     got = {r.conv_id: r for r in chat.read_back(examples).collect()}
     for conv, own in itertools.groupby(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, -1 if r[1] is None else r[1])), key=lambda r: r[0]):
         own = list(own)
@@ -130,6 +135,19 @@ def test_chat(spark):
     assert chat.expand(df.limit(0)).count() == 0
 
 
+def test_a_long_conversation_with_long_texts(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " + "###</" * 3000) for k in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = chat.expand(df)
+    told = examples.collect()
+    assert len(told) == 30 and max(len(r.text) for r in told) < (1 << 18) + 200_000 and any(r.context_chars for r in told)
+    got = chat.read_back(examples).first()
+    assert got.n_turns == 60 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    last = chat.full_texts(examples).where("target_turn = 59").first()
+    assert [t for _, t, _, _ in chat.parse(last.text)] == [r[3] for r in rows]
+    assert chat.unescape(last.text[last.loss_start : last.loss_end]) == rows[-1][3]
+
+
 # ---- quality
 
 
