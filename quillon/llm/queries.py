@@ -63,6 +63,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"),
     )
 
 
@@ -195,14 +196,23 @@ with b as (select item_id, {_WORDS} as w from benchmark where text is not null),
 win as (
   select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g
   from (select *, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
-d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+d as (select doc_id, coalesce({_WORDS}, []) as w, coalesce(text, '') as text from documents),
 p as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win) where len(w) >= k),
 hit as (select doc_id, i, p.k, item_id from p join win on win.k = p.k and win.g = array_to_string(w[i:i + p.k - 1], ' ')),
-places as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + k)) as j from hit) group by doc_id),
-its as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+j as (select distinct doc_id, unnest(range(i, i + k)) as j from hit),
+places as (select doc_id, count(*) as n from j group by doc_id),
+its as (select doc_id, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id),
+gaps as (  -- what stands before each word, and the words' own lengths, add up to their places
+  select doc_id, w, regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as g from d where doc_id in (select doc_id from j)),
+ats as (
+  select doc_id, k, sum(length(w[k]) + length(g[k])) over (partition by doc_id order by k) as upto, length(w[k]) as own
+  from (select *, unnest(range(1, len(w) + 1)) as k from gaps)),
+isle as (select j.doc_id, j, upto - own as s, upto as e, j - row_number() over (partition by j.doc_id order by j) as run from j join ats on ats.doc_id = j.doc_id and ats.k = j.j),
+runs as (select doc_id, min(s)::bigint as s, max(e)::bigint as e from isle group by doc_id, run),
+told as (select doc_id, string_agg(s || ':' || e, ',' order by s) as spans from runs group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(places.n, 0)::bigint as n_hit, coalesce(its.n, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, places.n is not null as contaminated
-from d left join places using (doc_id) left join its using (doc_id)"""
+       sha256(coalesce(ids, '')) as items_sha256, places.n is not null as contaminated, coalesce(spans, '') as spans
+from d left join places using (doc_id) left join its using (doc_id) left join told using (doc_id)"""
 
 OP5_SQL = r"""
 with c as (

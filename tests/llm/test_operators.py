@@ -93,16 +93,42 @@ def test_scan(spark, edges, nothing):
     assert [EDGES[4][1][s.start : s.end] for s in got[5, 5].spans] == ["the MIT License"]
     kept = decontam.clean(edges, bench)
     assert kept.schema == edges.schema and kept.count() == len(EDGES) - 5
+    assert got[4, 1].n_hit == 1  # also a window of the item without an id
     assert decontam.scan(nothing, bench).count() == 0 and decontam.scan(edges, items(spark, [])).where("n_hit > 0").count() == 0
 
 
-def test_scan_in_blocks_is_the_same(spark, edges, monkeypatch):
+def test_scan_in_blocks_is_the_same(spark, edges):
     r = random.Random(5)
     bench = items(spark, [(i, " ".join(f"w{(k + i) % 997}" for k in range(r.randint(1, 30))), 0) for i in range(40)])
-    whole = decontam.scan(edges, bench).collect()
-    real = decontam.blocks
-    monkeypatch.setattr(decontam, "blocks", lambda items, window: real(items, window, 500))
-    same(decontam.scan(edges, bench).collect(), whole)
+    same(decontam.scan(edges, bench, limit=500).collect(), decontam.scan(edges, bench).collect())
+    same(decontam.clean(edges, bench, limit=500).collect(), decontam.clean(edges, bench).collect())
+
+
+def plain_hits(text, bench, window=10):
+    def cut(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    w, hit, found = cut(text), set(), set()
+    for i, t in bench:
+        b = cut(t)
+        k = min(len(b), window)
+        for x in {tuple(b[j : j + k]) for j in range(len(b) - k + 1)} if b else ():
+            for j in range(len(w) - k + 1):
+                if tuple(w[j : j + k]) == x:
+                    hit.update(range(j, j + k))
+                    found.add(i)
+    return len(w), len(hit), sorted(str(i) for i in found if i is not None)
+
+
+def test_scan_against_a_plain_matcher(spark):
+    r = random.Random(12)
+    words = ["alpha", "Beta", "gamma", "délta", "x1", "ALPHA"]
+    bench = [(k if k % 5 else None, " ".join(r.choices(words, k=r.randint(0, 14)))) for k in range(12)]
+    rows = [(k, "".join(r.choice(words) + r.choice([" ", ", ", "\n", "--"]) for _ in range(r.randint(0, 60)))) for k in range(80)]
+    rows += [(100 + k, f"some {t}! words") for k, (_, t) in enumerate(bench)]
+    for limit in (2_000_000, 300):
+        got = {x.doc_id: (x.n_words, x.n_hit, list(x.item_ids)) for x in decontam.scan(table(spark, rows), items(spark, [(*b, 0) for b in bench]), limit=limit).collect()}
+        assert got == {i: plain_hits(t, bench) for i, t in rows}
 
 
 # ---- conversations
