@@ -44,7 +44,8 @@ def cut(n: int, capacity: int, slack: int = 32) -> list[int]:
 class Packer:
     """The bins of one worker: an open one for each class, closed when it holds k pieces of class k.
 
-    Open bins hold fewer than 2 * capacity pieces together for any number of documents. What is left at the end of a
+    An open bin of class k waits for at most k - 1 pieces, so for any number of documents all open bins hold fewer than
+    the sum of k - 1 over the classes that there are: 4,576 pieces, of a token to a sequence each, for 1024. What is left at the end of a
     worker's share is packed by first fit, longest first, over all classes.
     """
 

@@ -265,6 +265,44 @@ gone as (
 select d.doc_id, count(gone.doc_id) as n_dropped, count(*) filter (near) as n_near, coalesce(string_agg(line_no::varchar, ',' order by line_no), '') as dropped_lines
 from (select distinct doc_id from documents) d left join gone using (doc_id) group by d.doc_id"""
 
+
+
+def _op9_sql() -> str:
+    """The same index as rows: votes by aligned place, mandatory phrases in the text's vocabulary words."""
+    plain = {t: [w for w in text.split() if w not in licenses.COMMON] for t, (_, text) in enumerate(licenses.TEMPLATES)}
+    posts = ", ".join(f"('{w}', {t}, {i})" for t, (_, text) in enumerate(licenses.TEMPLATES) for i, w in enumerate(text.split()) if w in plain[t])
+    sizes = ", ".join(f"({t}, '{licenses.TEMPLATES[t][0]}', {len(set(w))})" for t, w in plain.items())
+    phrases = ", ".join(f"('{label}', '{' '.join(w for w in p.split() if w not in licenses.COMMON)}')" for label, ps in licenses.MANDATORY.items() for p in ps)
+    base = " union all ".join(
+        f"select doc_id, i, '{label}' as label from seq where " + " and ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())) for p, label in licenses.BASE
+    )
+    vocabulary = ", ".join(f"'{w}'" for w in licenses.VOCABULARY)
+    return f"""
+with d as (select doc_id, {_WORDS.replace("(text", "(coalesce(text, '')")} as ws from documents),
+tok as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from d),
+seq as (select doc_id, i, w as w0, lead(w) over x as w1, lead(w, 2) over x as w2 from tok window x as (partition by doc_id order by i)),
+bs as ({base}),
+bases as (select doc_id, count(*) as n, min(i) as a, max(i) as b, list_sort(list(distinct label)) as labels from bs group by doc_id),
+hits as (select * from tok where w in ({vocabulary})),
+told as (
+  select doc_id, string_agg(case when i - before <= 3 then ' ' else ' | ' end || w, '' order by i) || ' ' as t
+  from (select *, lag(i) over (partition by doc_id order by i) as before from hits) group by doc_id),
+posts(w, template, p) as (values {posts}),
+sizes(template, label, size) as (values {sizes}),
+phrases(label, phrase) as (values {phrases}),
+votes as (select doc_id, template, i - p as place, count(distinct w) as agree from hits join posts using (w) group by all),
+cand as (select doc_id, label, max(least(1.0::double, agree / least(size, {licenses.FULL}))) as share from votes join sizes using (template) where agree >= least({licenses.AGREE}, size) group by all),
+sure as (select distinct cand.* from cand join told using (doc_id) join phrases using (label) where contains(t, ' ' || phrase || ' ')),
+found as (select doc_id, list(label) as labels, max(share) as share from sure group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, b::bigint as last_word,
+       array_to_string(coalesce(bases.labels, []), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(bases.labels, []), coalesce(found.labels, [])))), ',') as labels,
+       case when n is not null then 1.0 else coalesce(share, 0.0) end::double as score
+from d left join bases using (doc_id) left join found using (doc_id)"""
+
+
+OP9_SQL = _op9_sql()
+
 #: Queries that train, tokenise or judge by a method SQL lacks are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
@@ -272,4 +310,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_license_scan": OP9_SQL,
 }

@@ -583,6 +583,41 @@ def test_every_notice_of_a_long_text_is_found(spark):
     assert "mpl" in got[2].labels and got[2].score == 1
 
 
+def plain_labels(text):
+    """Labels and score, template by template and place by place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [i for i, x in enumerate(w) if x in set(licenses.VOCABULARY)]
+    told = "".join((" " if k and i - at[k - 1] <= 3 else " | ") + w[i] for k, i in enumerate(at)) + " "
+    held = {label for label, ps in licenses.MANDATORY.items() for p in ps if " " + " ".join(x for x in p.split() if x not in licenses.COMMON) + " " in told}
+    best = {}
+    for label, t in licenses.TEMPLATES:
+        t = t.split()
+        size = len({x for x in t if x not in licenses.COMMON})
+        for place in range(-len(t), len(w)):
+            agree = len({x for k, x in enumerate(t) if x not in licenses.COMMON and 0 <= place + k < len(w) and w[place + k] == x})
+            if agree >= min(3, size) and label in held:
+                best[label] = max(best.get(label, 0), min(1, agree / min(size, 8)))
+    base = plain_base(text)
+    return sorted(set(best) | set(base[2])), 1.0 if base[1] else max(best.values(), default=0.0)
+
+
+def test_licences_against_a_plain_matcher(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(60):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            own = r.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(r.randint(0, 3)):  # words lost, put in, or replaced
+                at = r.randrange(len(own))
+                own[at : at + r.randint(0, 1)] = r.choice([[], ["other"], [r.choice(licenses.VOCABULARY)]])
+                own = own or ["x"]
+            words += own[r.randint(0, 2) :] + ["filler"] * r.randint(0, 5)
+        rows.append((k, r.choice([" ", ", ", "\n"]).join(words).title()))
+    got = {x.doc_id: (list(x.labels), pytest.approx(x.score)) for x in licenses.scan(table(spark, rows)).collect()}
+    assert {i: plain_labels(t) for i, t in rows} == got and sum(bool(x[0]) for x in got.values()) > 30
+
+
 # ---- pipeline
 
 
