@@ -7,10 +7,13 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 #: How byte-level BPE cuts a text before merging; fixed by the vocabulary's publishers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+PIECE = regex.compile(PATTERN)
+
 #: Characters for which both libraries' Unicode tables are known to agree (tests try each of them).
 COMMON = re.compile("[^\x00-ɏ‐-‧]")
 
@@ -35,6 +38,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.parted = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
         shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
         hidden = (b for b in range(256) if b not in shown)
         shown |= {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -55,6 +59,25 @@ class ByteBpe:
             self._slow = Tokenizer.from_file(self.path)
         return self._slow
 
+    def pieces(self, text: str) -> list[str]:
+        """The text cut where `tokenizers` cuts it before merging; special tokens are pieces of their own."""
+        if not COMMON.search(text) and not any(s in text for s in self.special):
+            return PIECE.findall(text)
+        out, at = [], 0
+        for m in self.parted.finditer(text):
+            out += [*self._plain(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[str]:
+        if not COMMON.search(text):
+            return PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.slow.pre_tokenizer.pre_tokenize_str(text)]
+
+    def piece_tokens(self, piece: str) -> int:
+        """How many tokens a piece of pieces() has: merging depends on its bytes alone."""
+        return 1 if piece in self.special else len(self.fast._encode_single_piece(piece))
+
     def ids(self, text: str) -> np.ndarray:
         if COMMON.search(text) or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")

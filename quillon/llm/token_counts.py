@@ -4,35 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe
-from quillon.llm.common import map_texts
+from quillon.llm.common import Scratch, map_texts
 
-PIECE = regex.compile(bpe.PATTERN)
-#: Pre-tokens in a leaf, as built; a leaf that grows past GROWN is split when the tree is next rebuilt.
+#: Pre-tokens in a leaf, as built; leaves that grow past GROWN are split.
 LEAF, GROWN = 64, 512
-#: A pre-token is decided by its own characters and at most this many after it.
-AHEAD = 2
 
 
-class Counter:
-    """Tokens of a pre-token; remembers the frequent ones."""
+class Coder:
+    """Cuts of a text into pre-tokens, and their tokens; remembers the frequent ones."""
 
-    def __init__(self, vocabulary: str | None):
-        self.encode = bpe.load(vocabulary).fast.encode_ordinary
+    def __init__(self, vocabulary: str | None = None):
+        self.bpe = bpe.load(vocabulary)
+        self.pieces = self.bpe.pieces
         self.known: dict[str, int] = {}
+        #: A cut is decided by at most this many characters after it: two, or a special token that they may be part of.
+        self.ahead = max(2, *map(len, self.bpe.special), 2)
 
-    def __call__(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            if len(self.known) > 150_000:
-                self.known.clear()
-            n = self.known[piece] = len(self.encode(piece))
-        return n
+    def counts(self, pieces: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > 150_000:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = self.bpe.piece_tokens(p)
+        return [known[p] for p in pieces]
+
+
+class Leaf:
+    """Consecutive pre-tokens: their text, lengths and tokens."""
+
+    __slots__ = ("counts", "lens", "text")
+
+    def __init__(self, text: str, lens: list[int], counts: list[int]):
+        self.text, self.lens, self.counts = text, lens, counts
+
+
+def chunks(text: str, lens: list[int], counts: list[int], size: int) -> list[Leaf]:
+    out, at = [], 0
+    for i in range(0, len(lens), size):
+        own = lens[i : i + size]
+        end = at + sum(own)
+        out.append(Leaf(text[at:end], own, counts[i : i + size]))
+        at = end
+    return out
 
 
 class TokenTree:
@@ -40,49 +60,54 @@ class TokenTree:
 
     `edit` replaces a range of characters. It encodes again from the last pre-token that the edit can't reach, until
     the new cuts meet the old ones behind the edit; from there on the old counts hold, as a cut depends only on what
-    follows. Sums change on the paths from the touched leaves to the root.
+    follows. Counts are kept for each pre-token, so nothing else is counted again, and sums change on the paths from the
+    touched leaves to the root. encoded_chars adds up the characters that edits had encoded.
     """
 
-    def __init__(self, text: str, count: Counter):
-        self.count, self.encoded_chars = count, len(text)
-        pieces = PIECE.findall(text)
-        self._build([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)])
+    def __init__(self, text: str, lens: list[int], counts: list[int], coder: Coder):
+        self.coder, self.encoded_chars = coder, 0
+        self._build(chunks(text, lens, counts, LEAF))
 
-    def _build(self, leaves: list[list[str]]) -> None:
-        self.leaves = leaves or [[]]
+    @classmethod
+    def of(cls, text: str, coder: Coder) -> TokenTree:
+        pieces = coder.pieces(text)
+        return cls(text, list(map(len, pieces)), coder.counts(pieces), coder)
+
+    def _build(self, leaves: list[Leaf]) -> None:
+        self.leaves = leaves or [Leaf("", [], [])]
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self._sum(i)
+        for i, leaf in enumerate(self.leaves, self.size):
+            self.chars[i], self.tokens[i] = len(leaf.text), sum(leaf.counts)
         for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            self._add(i)
 
-    def _sum(self, i: int) -> None:
-        self.chars[self.size + i] = sum(map(len, self.leaves[i]))
-        self.tokens[self.size + i] = sum(map(self.count, self.leaves[i]))
+    def _add(self, i: int) -> None:
+        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _update(self, i: int) -> None:
-        self._sum(i)
-        i = (self.size + i) // 2
+    def _put(self, k: int, leaf: Leaf) -> None:
+        self.leaves[k] = leaf
+        i = self.size + k
+        self.chars[i], self.tokens[i] = len(leaf.text), sum(leaf.counts)
+        i //= 2
         while i:
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            self._add(i)
             i //= 2
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds a character, and the characters before that leaf."""
-        i, before = 1, 0
+        """The leaf that holds a character, and the characters before that leaf; of an empty text the first leaf."""
+        if not self.chars[1]:
+            return 0, 0
+        at, i, before = min(at, self.chars[1] - 1), 1, 0
         while i < self.size:
             i *= 2
-            if at - before >= self.chars[i] and i + 1 - self.size < len(self.leaves) or not self.chars[i] and self.chars[i + 1]:
+            if at - before >= self.chars[i]:
                 before += self.chars[i]
                 i += 1
-            if i >= self.size and i - self.size >= len(self.leaves):
-                i -= 1
-        return min(i - self.size, len(self.leaves) - 1), before
+        return i - self.size, before
 
     @property
     def n_tokens(self) -> int:
@@ -93,7 +118,13 @@ class TokenTree:
         return self.chars[1]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join(x.text for x in self.leaves)
+
+    def lens(self) -> list[int]:
+        return [n for x in self.leaves for n in x.lens]
+
+    def counts(self) -> list[int]:
+        return [n for x in self.leaves for n in x.counts]
 
     def edit(self, start: int, length: int, new: str) -> None:
         """Replace `length` characters from `start`; both are cut to the text."""
@@ -101,109 +132,146 @@ class TokenTree:
         end = start + max(0, min(length, self.n_chars - start))
         if start == end and not new:
             return
-        first, before = self._find(max(0, start - AHEAD))
-        while first and before > max(0, start - AHEAD):  # the boundary must lie AHEAD before the edit
-            first -= 1
-            before -= self.chars[self.size + first]
-        kept, at = 0, before
-        for p in self.leaves[first]:
-            if at + len(p) + AHEAD > start:
+        ahead, moved = self.coder.ahead, len(new) - (end - start)
+        first, before = self._find(max(0, start - ahead))
+        kept, at = 0, before  # pre-tokens that end `ahead` before the edit or earlier
+        for n in self.leaves[first].lens:
+            if at + n + ahead > start:
                 break
-            at += len(p)
+            at += n
             kept += 1
-        # old cuts and text from `at` on, taken leaf by leaf until the new cuts meet them
-        last, upto = first, before + self.chars[self.size + first]
-        told = self.leaves[first][kept:]
+        last, upto, wanted = first, before + len(self.leaves[first].text), end + 64
         while True:
-            while upto < end + 64 and last + 1 < len(self.leaves):
+            while upto < wanted and last + 1 < len(self.leaves):
                 last += 1
-                upto += self.chars[self.size + last]
-                told = told + self.leaves[last]
-            whole = last + 1 >= len(self.leaves)
-            old = "".join(told)
-            fresh = old[: start - at] + new + old[end - at :]
-            moved = len(new) - (end - start)
+                upto += len(self.leaves[last].text)
+            told = [n for x in self.leaves[first : last + 1] for n in x.lens][kept:]
+            old = "".join(x.text for x in self.leaves[first : last + 1])[at - before :]
             cuts, spot = {}, 0
-            for k, p in enumerate(told):
+            for k, n in enumerate(told):
                 cuts[spot] = k
-                spot += len(p)
+                spot += n
             cuts[spot] = len(told)
-            pieces, spot, met = [], 0, None
-            edited_end = start - at + len(new)
-            for m in PIECE.finditer(fresh):
-                if spot >= edited_end and spot - moved in cuts and spot - moved >= end - at:
+            whole = last + 1 >= len(self.leaves)
+            again = old[: start - at] + new + old[end - at :]
+            fresh, spot, met = [], 0, None
+            for p in self.coder.pieces(again):
+                if spot >= start - at + len(new) and spot - moved in cuts:
                     met = cuts[spot - moved]
                     break
-                if not whole and m.end() + AHEAD > len(fresh):
+                if not whole and spot + len(p) + ahead > len(again):
                     break
-                pieces.append(m[0])
-                spot = m.end()
+                fresh.append(p)
+                spot += len(p)
             else:
-                if whole:
-                    met = len(told)
+                met = len(told) if whole else None
             if met is not None:
                 break
-            end_of = upto
-            while last + 1 < len(self.leaves) and upto < end_of + max(64, len(old)):
-                last += 1
-                upto += self.chars[self.size + last]
-                told = told + self.leaves[last]
-        self.encoded_chars += sum(map(len, pieces))
-        rest, own = told[met:], self.leaves[first][:kept] + pieces
-        # what was not encoded again goes back to the leaves that it came from
-        back: list[list[str]] = []
-        for i in range(last, first, -1):
-            n = min(len(rest), len(self.leaves[i]))
-            back.append(rest[len(rest) - n :] if n else [])
-            rest = rest[: len(rest) - n]
-        self.leaves[first] = own + rest
-        for i, leaf in zip(range(last, first, -1), back, strict=True):
-            if leaf != self.leaves[i]:
-                self.leaves[i] = leaf
-                self._update(i)
-        self._update(first)
-        if len(self.leaves[first]) > GROWN:
-            flat = [p for leaf in self.leaves for p in leaf]
-            self._build([flat[i : i + LEAF] for i in range(0, len(flat), LEAF)])
+            wanted = upto + max(64, len(old))
+        self.encoded_chars += spot
+        # the leaf in which the cuts meet: what lies behind it stays
+        upto, behind = last, sum(len(x.lens) for x in self.leaves[first : last + 1]) - kept
+        while upto > first and behind - len(self.leaves[upto].lens) >= met:
+            behind -= len(self.leaves[upto].lens)
+            upto -= 1
+        touched = self.leaves[first : upto + 1]
+        counts = [n for x in touched for n in x.counts]
+        lens = [n for x in touched for n in x.lens]
+        text = "".join(x.text for x in touched)
+        gone = at - before + sum(told[:met])
+        lens = lens[:kept] + list(map(len, fresh)) + lens[kept + met :]
+        counts = counts[:kept] + self.coder.counts(fresh) + counts[kept + met :]
+        text = text[: at - before] + "".join(fresh) + text[gone:]
+        n = len(touched)
+        if len(lens) > n * GROWN:
+            self._build([*self.leaves[:first], *chunks(text, lens, counts, LEAF), *self.leaves[upto + 1 :]])
+            return
+        own = chunks(text, lens, counts, max(1, -(-len(lens) // n)))
+        for k in range(n):
+            self._put(first + k, own[k] if k < len(own) else Leaf("", [], []))
 
 
+TREE = "doc_id long, text string, lens array<int>, counts array<int>"
+EDITS = "array<struct<start:int,length:int,text:string>>"
 SCHEMA = (
     "doc_id long, n_tokens_before long, n_tokens long, n_chars long, n_edits long, first_chars long, again_chars long"
 )
 
 
-def count(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
-    """One row per document: its tokens before and after its edits, and how many characters were encoded.
+def _lists(rows: list[list[int]]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array(x, dtype=np.int32) for x in rows])))
 
-    docs: doc_id, text and a column of edits, array<struct<start:int, length:int, text:string>>, which apply one after
-    another; places are code points of the text as it is then, and are cut to its ends. first_chars were encoded to
-    begin with, again_chars by the edits. A null text is empty; null edits are none, as is an edit whose text is null
-    and whose length is null or 0; repeated rows give a row each; an empty table gives none. Whole texts are counted,
-    each by itself, and nothing is shuffled; a table of edits is joined to the documents with with_edits().
+
+def trees(docs: DataFrame, vocabulary: str | None = None, keep: str | None = None) -> DataFrame:
+    """The tree of each document as a row to be stored: doc_id, text, and lens and counts of its pre-tokens.
+
+    With `keep`, that column of edits as well. docs: doc_id and text are read; a null text is empty; repeated rows give
+    a row each; an empty table gives none. Whole texts are encoded, each by itself.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(vocabulary)
+        for batch in batches:
+            lens, counts, texts = [], [], []
+            for t in batch.column(1):
+                texts.append(t.as_py() or "")
+                pieces = coder.pieces(texts[-1])
+                lens.append(list(map(len, pieces)))
+                counts.append(coder.counts(pieces))
+            if texts:
+                cols = [batch.column(0), pa.array(texts, pa.string()), _lists(lens), _lists(counts), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "lens", "counts", "edits"][: len(cols)])
+
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if keep:
+        cols.append(F.col(keep).cast(EDITS).alias("edits"))
+    return map_texts(docs.select(*cols), task, TREE + f", edits {EDITS}" * bool(keep))
+
+
+def apply(stored: DataFrame, vocabulary: str | None = None, updated: bool = False) -> DataFrame:
+    """One row per stored tree: its tokens before and after its edits, and how many characters were encoded.
+
+    stored: trees(), read back, with a column `edits`, which apply one after another; places are code points of the
+    text as it is then, and are cut to its ends. first_chars were encoded to build the tree, again_chars by the edits:
+    all that is encoded here. With `updated`, also the edited tree (text, lens, counts), ready for further edits. Null
+    edits are none, as is an edit whose text is null and whose length is null or 0. Nothing is shuffled.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        coder = Coder(vocabulary)
         for batch in batches:
-            rows = []
-            for doc, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                tree = TokenTree(text.as_py() or "", counter)
-                before, first, n = tree.n_tokens, tree.encoded_chars, 0
-                for e in todo.as_py() or ():
+            rows, made = [], []
+            for doc, text, lens, counts, todo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree, n, chars = TokenTree(text, lens, counts, coder), 0, len(text)
+                before = tree.n_tokens
+                for e in todo or ():
                     if e is not None and e["start"] is not None:
                         tree.edit(e["start"], e["length"] or 0, e["text"] or "")
                         n += 1
-                rows.append((doc, before, tree.n_tokens, tree.n_chars, n, first, tree.encoded_chars - first))
+                rows.append((doc, before, tree.n_tokens, tree.n_chars, n, chars, tree.encoded_chars))
+                if updated:
+                    made.append((tree.text(), tree.lens(), tree.counts()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                if updated:
+                    cols += [pa.array([m[0] for m in made], pa.string()), _lists([m[1] for m in made]), _lists([m[2] for m in made])]
+                yield pa.RecordBatch.from_arrays(cols, names=names + ["text", "lens", "counts"] * updated)
 
-    kept = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.col(edits).cast("array<struct<start:int,length:int,text:string>>").alias("edits"),
-    )
-    return map_texts(kept, task, SCHEMA)
+    kept = stored.select("doc_id", "text", "lens", "counts", F.col("edits").cast(EDITS).alias("edits"))
+    return map_texts(kept, task, SCHEMA + ", text string, lens array<int>, counts array<int>" * updated)
+
+
+def count(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """One row per document, as apply() gives it: the trees are built, stored, and read back for the edits.
+
+    docs: doc_id, text and a column of edits, array<struct<start:int, length:int, text:string>>. A null text is empty;
+    repeated rows give a row each; an empty table gives none; other columns are ignored. Whole texts are counted, each
+    by itself, and nothing is shuffled; a table of edits is joined to the documents with with_edits().
+    """
+    stored = Scratch(docs.sparkSession, "trees").table(trees(docs, vocabulary, edits), "trees")
+    return apply(stored, vocabulary)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
