@@ -21,6 +21,8 @@ DIMENSIONS = 1 << 18
 #: The bounds of the training sample: labelled documents, taken by a hash of their id, and their distinct sentences'
 #: words together. What lies beyond is not trained on; scoring covers every document.
 MOST_DOCS, MOST_WORDS = 16_000, 8_000_000
+#: A labelled document of more than a hundredth of MOST_WORDS, which would crowd others out, is not trained on either.
+CROWD = 100
 PASSES, RATE, DECAY = 14, 0.5, 1e-6
 
 
@@ -183,8 +185,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
     labelled = own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
     feats = map_texts(labelled, _featurise, "doc_id long, toxic int, feats binary, sizes array<int>")
     rows = feats.withColumn("n", (F.length("feats") / 4).cast("long"))
-    # a document of over a hundredth of the bound would crowd the sample out
-    rows = rows.where(F.col("n") <= most_words // 100)
+    rows = rows.where(F.col("n") <= most_words // CROWD)
     scratch = Scratch(docs.sparkSession, "sample")
     order = ["h", "doc_id", "k"]
     rows = scratch.table(rows.withColumns({"h": F.xxhash64("doc_id"), "k": F.xxhash64("feats")}), "rows")

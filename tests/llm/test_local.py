@@ -178,7 +178,9 @@ def test_guess_cost():
     cost = secret_scan.guess_cost
     assert cost("password") < 1 and cost("password1999") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 4
     assert cost("xK9#mQ2$vL7p") > 15 and cost("hunter2hunter2hunter2") < cost("hunter2") + 3
-    assert cost("a" * 5000) == cost("a" * secret_scan.LONG)
+    assert cost("a" * 5000) < 6 and cost("xK9#mQ2$vL7pTr5&wB3z" * 40) < cost("xK9#mQ2$vL7pTr5&wB3z") + 4
+    # whole values, not beginnings: the end makes the beginning cheaper or dearer
+    assert cost("a" * 119 + "wednesday333") < 9 < cost("a" * 119 + "wednkzQ9!xe33")
 
 
 @settings(max_examples=200, deadline=None)
@@ -221,3 +223,69 @@ def test_the_cost_decides_for_every_value():
     tail = "a" * 1000 + "kT!zQ#wErPm9x"
     assert found(f"pwd = {tail}") == [tail] and found("pwd = " + "a" * 5000) == []
     assert found("https://user:XkQzPwVbNm@host") == ["XkQzPwVbNm"]
+    assert found("https://" + "u" * 80 + ":XkQzPwVbNm@host") == found("pwd" + " " * 30 + "=   XkQzPwVbNm") == ["XkQzPwVbNm"]
+    assert found("the password is xkqjzvwpmrtyhgfd") == ["xkqjzvwpmrtyhgfd"] and found("the Password is Angstschweiß") == []
+    assert found("pASSWORD is xK9#qjZv2wP") == found("Password IS: xK9#qjZv2wP password is xK9#qjZv2wP") == ["xK9#qjZv2wP"]
+
+
+def plain_base_spans(text):
+    """Character by character, from the rule's words."""
+    def run(at, ok):
+        end = at
+        while end < len(text) and text[end] in ok:
+            end += 1
+        return end
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = set(letters + letters.lower() + "0123456789+/_.=-")
+    out = []
+    at = 0
+    while at < len(text):
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if "".join(c.lower() if c in letters else c for c in text[at : at + len(name)]) == name:
+                i = at + len(name)
+                i = run(i + (text[i : i + 1] in ('"', "'") and i < len(text)), " ")
+                if text[i : i + 1] in (":", "=") and i < len(text):
+                    i = run(i + 1, " ")
+                    i += i < len(text) and text[i] in "\"'"
+                    end = run(i, value)
+                    if end > i:
+                        if end - i >= 12:
+                            out.append((at, 0, "assign", end))
+                        at = end - 1
+                        break
+        at += 1
+    for order, kind, head, ok, least in ((1, "access", "AKIA", set(letters + "0123456789"), 18), (2, "hex", "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < len(text):
+            if text.startswith(head, at) and (end := run(at + len(head), ok)) > at + len(head):
+                if end - at >= least:
+                    out.append((at, order, kind, end))
+                at = end
+            else:
+                at += 1
+    return [(k, a, e) for a, _, k, e in sorted(out)]
+
+
+PARTS = ["password", "ApI_KeY", "apikey", "token", "Secret", ":", "=", " ", '"', "'", "AKIA", "AKIAABCDEFGHIJ", "0123456789abcdef", "abcdefgh1234", "zz", "é", "\n", "ſ", "A1B2"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(text=st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_base_spans_against_a_plain_matcher(text):
+    assert secret_scan.base_spans(text) == plain_base_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(data=st.data())
+def test_spans_of_built_texts(data):
+    """Texts put together from contexts whose values are known."""
+    text, expected = "", []
+    for _ in range(data.draw(st.integers(0, 4))):
+        text += data.draw(st.sampled_from(["some words here. ", "é\n", "a list: ", ""]))
+        text += data.draw(st.sampled_from(["passphrase: ", "Bearer ", "my PWD='", "auth = ", "the credentials is ", "ftp://me:"]))
+        value, hot = data.draw(st.sampled_from([("kT!zQ#wErPm9", True), ("Password1999", False), ("qwertyuiop", False), ("aaaaaaaaaaaaaaaa", False), ("Zx9$Lq2&Vb", True), ("short1!", False)]))
+        if hot:
+            expected.append((len(text), len(text) + len(value)))
+        text += value + data.draw(st.sampled_from(["\n", "' ", " and then "]))
+    assert [(a, b) for _, a, b, _ in secret_scan.guess_spans(text, [])] == expected

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -275,6 +276,22 @@ def test_secrets(spark, nothing):
     assert [s.kind for s in r[0].base] == ["assign", "access", "hex"] and r[1].spans == [] and secret_scan.scan(nothing).count() == 0
 
 
+def test_secret_edges(spark, edges):
+    from quillon.llm import queries  # the digest's columns
+
+    long = "x" * 300_000 + " password=abcdefghijklmnop " + "y" * 300_000
+    df = edges.unionByName(table(spark, [(20, long), (21, "my pwd: kT!zQ#wErPm9"), (21, "my pwd: kT!zQ#wErPm9")])).withColumn("spans", F.lit("clash")).withColumn("base", F.lit(1))
+    rows = secret_scan.scan(df).collect()
+    assert len(rows) == len(EDGES) + 3
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert [(s.kind, s.start, s.end) for s in by[20][0].spans] == [("assign", 300_001, 300_026)]
+    assert len(by[21]) == 2 and by[21][0] == by[21][1] and [s.kind for s in by[21][0].spans] == ["guess"] and not by[21][0].base
+    assert all(not r.spans for i in (1, 2, 3, 4, 6, 7, 8) for r in by[i])
+    assert queries._digest("spans") is not None
+
+
 # ---- joins
 
 
@@ -349,8 +366,6 @@ def test_jaccard_edges(spark, edges, nothing):
 def test_keys_meet_for_every_link():
     r = random.Random(9)
     rule = ngram_join.Rule(4, 85)
-    import numpy as np
-
     for n in [1, 2, 3, 5, 8, 13, 20, 40, 100, 333, 1000]:
         for _ in range(15):
             common = {r.getrandbits(64) for _ in range(n)}
@@ -367,8 +382,6 @@ def test_keys_meet_for_every_link():
 
 def test_unrelated_sets_share_almost_no_keys():
     """Candidates grow with the rows, not with their square."""
-    import numpy as np
-
     for words, percent in ((5, 80), (4, 85), (2, 60)):
         rule = ngram_join.Rule(words, percent)
         for n in (4, 7, 12, 30, 100):
@@ -558,6 +571,64 @@ def test_toxicity(spark, nothing):
     assert all(0 <= r.score <= 1 for r in toxicity.score(table(spark, EDGES), model).collect())
 
 
+def plain_fit(docs, seed=7):
+    """Batch by batch and sentence by sentence, with the slope of the loss from its definition."""
+    import math
+
+    toxic = sum(y for _, y in docs)
+    mean = sum(max(1, len(s)) for s, _ in docs) / len(docs)
+    share = toxic / len(docs) / mean
+    bias, bias_seen = math.log(share / (1 - share)), 1.0
+    w, seen = defaultdict(float), defaultdict(lambda: 1e-2)
+    kept = [d for d in docs if d[0]]
+    rng = np.random.default_rng(seed)
+    for _ in range(toxicity.PASSES):
+        order = rng.permutation(len(kept))
+        for at in range(0, len(order), 32):
+            part = [kept[i] for i in order[at : at + 32]]
+            g, gb = defaultdict(float), 0.0
+            for sentences, y in part:
+                p = [1 / (1 + math.exp(-(bias + sum(w[k] for k in s)))) for s in sentences]
+                none = math.prod(1 - x for x in p)
+                for s, x in zip(sentences, p):
+                    # d/dz of -log(1 - none) is -p none / (1 - none), of -log(none) it is p
+                    slope = -x * none / (1 - none) if y else x
+                    gb += slope / len(part)
+                    for k in s:
+                        g[k] += slope / len(part)
+            for k in g:
+                g[k] += toxicity.DECAY * w[k]
+                seen[k] += g[k] ** 2
+                w[k] -= toxicity.RATE * g[k] / math.sqrt(seen[k])
+            bias_seen += gb * gb
+            bias -= toxicity.RATE * gb / math.sqrt(bias_seen)
+    return bias, w
+
+
+def test_the_fit_is_that_of_a_plain_loop():
+    import math
+
+    r = random.Random(9)
+    docs = [([np.array(r.sample(range(30), r.randint(1, 5))) for _ in range(r.randint(0, 4))], int(r.random() < 0.3)) for _ in range(70)]
+    model = toxicity.fit(docs)
+    bias, w = plain_fit(docs)
+    assert model.bias == pytest.approx(bias, abs=1e-9) and all(model.weights[k] == pytest.approx(w[k], abs=1e-9) for k in range(30))
+    for z in ([], [-3.0], [0.5, -2.0, 1.0], [-30.0, -35.0], [25.0, 3.0]):
+        none = math.prod(1 / (1 + math.exp(x)) for x in (z or [model.bias]))
+        if 1e-12 < none < 1 - 1e-12:
+            assert model.log_odds(z) == pytest.approx(math.log((1 - none) / none))
+    # the calibration is the least loss: no step in any direction is better
+    a, b = toxicity.calibration(model, docs)
+    x = [model.log_odds([model.bias + model.weights[s].sum() for s in sentences]) for sentences, _ in docs]
+
+    def loss(a, b):
+        return sum(math.log1p(math.exp(a * v + b)) - y * (a * v + b) for v, (_, y) in zip(x, docs)) + ((a - 1) ** 2 + b**2) / 2
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
+    blind = toxicity.fit([(s, 0) for s, _ in docs])
+    assert not blind.weights.any() and toxicity.calibration(blind, [(s, 0) for s, _ in docs]) == (1.0, 0.0)
+
+
 def test_the_feature_bound_follows_the_hash_not_the_files(spark):
     rows = [(i, f"aa bb u{i}") for i in range(600)]
     docs = table(spark, rows).repartitionByRange(6, "doc_id")
