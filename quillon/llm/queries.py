@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quillon.llm import chat, decontam, licenses, line_dedup, ngram_join, packing, quality, secret_scan, token_counts, toxicity
 
 
@@ -136,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_harmonic_packing,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
