@@ -16,11 +16,15 @@ EDGE_PREFIXES = ("qo", "lch", "lsh", "sh", "ch", "so", "do", "q", "o", "d", "y",
 EDGE_SUFFIXES = ("aiin", "ain", "iin", "in", "ar", "or", "al", "ol", "dy", "y")
 SUFFIXES = ("aiin", "ain", "iin", "in", "ar", "or", "al", "ol", "edy", "ody", "eedy", "dy", "sy", "ey", "y")
 SUFFIXES_LONG_FIRST = ("aiin", "ain", "iin", "in", "ar", "or", "al", "ol", "eedy", "edy", "ody", "dy", "ey", "y")
-GLYPH = "c[tkpf]h|[cstkpf]h|."
-#: A chunk over glyphs written as one character each (see chunks): slots 1 to 5 in order, runs of up to three.
-CHUNK_SLOTS = "[CSy]?(?:e{1,3}|[qa])?o?(?:i{1,3}|d)?[ypfklrstTKPFnm]?"
+TWO_LETTERS = ("ch", "sh", "th", "kh", "ph", "fh")
+# The five ordered slots of a chunk; glyphs of slots 2 and 4 may run up to three times where marked.
+SLOT_1, SLOT_5 = ("ch", "sh", "y"), ("y", "p", "f", "k", "l", "r", "s", "t", "cth", "ckh", "cph", "cfh", "n", "m")
+SLOT_2_RUNS, SLOT_2, SLOT_3, SLOT_4_RUNS, SLOT_4 = "e", ("q", "a"), "o", "i", "d"
 MOST_CHUNKS = 6
 
+#: Units, the longest first.
+GLYPH = "|".join((*BENCH_GALLOWS, *TWO_LETTERS, "."))
+
 WORD = r"([\p{L}]+)"
 # The patterns of the transliterations' markup.
 TAG, ALTERNATIVES, BREAKS = "<[^>]*>", r"\[([^:\[\]]*)(?::[^\[\]]*)+\]", r"[.\s,;]+"
@@ -99,33 +103,37 @@ def map_units(word: Column, table: dict[str, str], other: str | None = None) ->
     return F.transform(units, lambda u: F.coalesce(F.element_at(mapped, u), u if other is None else F.lit(other)))
 
 
-def strip_gallows(word: Column) -> Column:
-    """The word without its gallows, each taken out in list order until none is left.
+def _without(word: Column, part: str) -> Column:
+    """The word after `part` is taken out until none is left; taking one out can make another where it stood."""
+    if len(part) == 1:
+        return F.replace(word, F.lit(part), F.lit(""))
+    times = F.sequence(F.lit(1), F.greatest(F.floor(F.length(word) / len(part)).cast("int"), F.lit(1)))  # each takes one at least
+    return F.aggregate(times, word, lambda a, _: F.replace(a, F.lit(part), F.lit("")))
 
-    Taking one out can make another of the same kind, so each replacement runs as often as a word of up to 40 letters
-    can need; for one-letter gallows once is enough.
-    """
-    out = word
+
+def strip_gallows(word: Column) -> Column:
+    """The word without its gallows, each taken out in list order until none is left."""
     for g in GALLOWS:
-        out = F.replace(out, F.lit(g), F.lit(""))
-        if len(g) > 1:
-            # what a removal joins: at most one more match for every removed one around it
-            for _ in range(3):
-                out = F.replace(out, F.lit(g), F.lit(""))
-    return out
+        word = _without(word, g)
+    return word
 
 
 def gallows(word: Column) -> Column:
     """The gallows that strip_gallows takes out, in its order, repeated ones repeated."""
-    out, rest = [], word
-    for g in GALLOWS:
-        left = F.replace(rest, F.lit(g), F.lit(""))
-        if len(g) > 1:
-            for _ in range(3):
-                left = F.replace(left, F.lit(g), F.lit(""))
-        out.append(F.array_repeat(F.lit(g), ((F.length(rest) - F.length(left)) / len(g)).cast("int")))
-        rest = left
-    return F.flatten(F.array(*out))
+    return stripped(word)["taken"]
+
+
+def stripped(word: Column) -> Column:
+    """(rest, taken): strip_gallows() and gallows() at once, each step from the one before it."""
+    start = F.struct(word.alias("rest"), F.array().cast("array<string>").alias("taken"))
+
+    def step(a: Column, g: Column) -> Column:
+        times = F.sequence(F.lit(1), F.greatest(F.floor(F.length(a["rest"]) / F.length(g)).cast("int"), F.lit(1)))
+        rest = F.aggregate(times, a["rest"], lambda x, _: F.replace(x, g, F.lit("")))
+        n = ((F.length(a["rest"]) - F.length(rest)) / F.length(g)).cast("int")
+        return F.struct(rest.alias("rest"), F.concat(a["taken"], F.array_repeat(g, n)).alias("taken"))
+
+    return F.aggregate(F.array(*map(F.lit, GALLOWS)), start, step)
 
 
 def gallows_base(word: Column) -> Column:
@@ -175,8 +183,21 @@ def decompose(word: Column) -> Column:
     )
 
 
-# One character for each glyph that takes several letters, none of which is a lower-case letter.
-_ONE = {"cth": "T", "ckh": "K", "cph": "P", "cfh": "F", "ch": "C", "sh": "S", "th": "H", "kh": "J", "ph": "V", "fh": "W"}
+#: One character for each glyph that takes several letters, none of which is a lower-case letter.
+ONE = dict(zip((*BENCH_GALLOWS, *TWO_LETTERS), "TKPFCSHJVW"))
+
+
+def _class(glyph_list: Sequence[str]) -> str:
+    return "[" + "".join(ONE.get(g, g) for g in glyph_list) + "]"
+
+
+#: The slots over glyphs written as one character each.
+SLOTS = (
+    _class(SLOT_1), f"(?:{SLOT_2_RUNS}{{1,3}}|{_class(SLOT_2)})", SLOT_3, f"(?:{SLOT_4_RUNS}{{1,3}}|{SLOT_4})", _class(SLOT_5),
+)
+#: A chunk: any of the slots, in order; the first that is filled decides where it starts.
+CHUNK = "|".join(s + "".join(f"{later}?" for later in SLOTS[i + 1 :]) for i, s in enumerate(SLOTS))
+STARTS = "[" + "".join(dict.fromkeys("".join(ONE.get(g, g) for g in (*SLOT_1, SLOT_2_RUNS, *SLOT_2, SLOT_3, SLOT_4_RUNS, SLOT_4, *SLOT_5)))) + "]"
 
 
 def chunks(word: Column) -> Column:
@@ -185,16 +206,16 @@ def chunks(word: Column) -> Column:
     chunks are arrays of glyphs, six at most; what follows the sixth is unparsed.
     """
     one = F.lower(word)
-    for glyph, char in _ONE.items():
+    for glyph, char in ONE.items():
         one = F.replace(one, F.lit(glyph), F.lit(char))
     # every piece is a chunk or, where none starts, a single glyph
-    stepped = F.regexp_extract_all(one, F.lit(f"((?=[CSyeqaoidpfklrstTKPFnm]){CHUNK_SLOTS}|.)"), 1)
-    back = F.create_map(*(F.lit(x) for kv in _ONE.items() for x in (kv[1], kv[0])))
+    stepped = F.regexp_extract_all(one, F.lit(f"({CHUNK}|.)"), 1)
+    back = F.create_map(*(F.lit(x) for kv in ONE.items() for x in (kv[1], kv[0])))
 
     def units(piece: Column) -> Column:
         return F.transform(F.filter(F.split(piece, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(back, c), c))
 
-    fits = F.transform(stepped, lambda p: p.rlike("^[CSyeqaoidpfklrstTKPFnm]"))
+    fits = F.transform(stepped, lambda p: p.rlike(f"^{STARTS}"))
     # a chunk counts while fewer than MOST_CHUNKS chunks stand before it
     state = F.aggregate(
         F.arrays_zip(stepped.alias("p"), fits.alias("f")),

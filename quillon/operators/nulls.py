@@ -29,18 +29,46 @@ def replicates(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
 def shuffled(words: Column, seed: str | Column, *parts: str | Column) -> Column:
     """An array in an order drawn by its places: a shuffle inside the row, without a window."""
     keyed = F.transform(words, lambda w, i: F.struct(draw(seed, *parts, i).alias("k"), w.alias("w")))
-    return F.transform(F.array_sort(keyed), lambda x: x["w"])
+    return F.transform(F.sort_array(keyed), lambda x: x["w"])
 
 
-def permuted(df: DataFrame, within: Sequence[str], value: str, order: Sequence[str], seed: str | Column) -> DataFrame:
-    """df with `value` dealt anew inside each group: the k-th row in `order` gets the value that the hash puts k-th.
+def shuffles(df: DataFrame, values: str, n: int, seed: str, *parts: str, rep: str = "rep") -> DataFrame:
+    """df once for each of n replicates, the array `values` in an order of its own: a shuffle inside the row.
 
-    Both ranks are windows over the group; give groups of a bounded size (documents, sources, a replicate of a stratum).
+    A hash serves four replicates, eight of its digits each, so its cost is a quarter; ties go by place.
     """
-    here = Window.partitionBy(*within).orderBy(*order)
-    there = Window.partitionBy(*within).orderBy(draw(seed, *within, *order), *order)
-    slots = df.withColumn("slot_", F.row_number().over(here)).drop(value)
-    values = df.select(*within, F.col(value), F.row_number().over(there).alias("slot_"))
+    blocks = df.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))))
+    keyed = F.transform(values, lambda v, i: F.struct(draw(seed, "block_", *parts, i).alias("k"), v.alias("v")))
+    each = blocks.withColumn("keyed_", keyed).withColumn("quarter_", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    each = each.withColumn(rep, F.col("block_") * 4 + F.col("quarter_")).where(F.col(rep) < n)
+    own = F.transform("keyed_", lambda x, i: F.struct(F.substring(x["k"], F.col("quarter_") * 8 + 1, F.lit(8)).alias("k"), i.alias("i"), x["v"].alias("v")))
+    return each.withColumn(values, F.transform(F.sort_array(own), lambda x: x["v"])).drop("block_", "keyed_", "quarter_")
+
+
+def rank_by_hash(df: DataFrame, within: Sequence[str], order: Sequence[str], seed: str, out: str, ranges: int) -> DataFrame:
+    """df with `out`, each row's rank in its group by a hash of (seed, within, order), in `ranges` ranges of the hash."""
+    hashed = df.withColumn("hash_", draw(seed, *within, *order))
+    if ranges == 1:
+        here = Window.partitionBy(*within).orderBy("hash_", *order)
+        return hashed.withColumn(out, F.row_number().over(here)).drop("hash_")
+    hashed = hashed.withColumn("range_", F.floor(uniform(F.col("hash_")) * ranges))
+    sums = hashed.groupBy(*within, "range_").agg(F.count("*").alias("rows_"))
+    earlier = Window.partitionBy(*within).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*within, "range_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)).alias("base_"))
+    here = Window.partitionBy(*within, "range_").orderBy("hash_", *order)
+    return hashed.withColumn("here_", F.row_number().over(here)).join(sums, [*within, "range_"]).withColumn(out, F.col("base_") + F.col("here_")).drop("hash_", "range_", "here_", "base_")
+
+
+def permuted(df: DataFrame, within: Sequence[str], value: str, order: Sequence[str], seed: str, width: int = WIDTH) -> DataFrame:
+    """df with `value` dealt anew inside each group: the k-th row by one hash gets the value of the k-th by another.
+
+    `order` must be unique in a group. The largest group is counted first; ranks are sums over ranges of the hashes of
+    about `width` rows and a window inside each, so a group may be of any size and the result is the same for any width.
+    """
+    largest = df.groupBy(*within).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ranges = max(1, -(-largest // width))
+    slots = rank_by_hash(df, within, order, f"{seed}@", "slot_", ranges).drop(value)
+    values = rank_by_hash(df, within, order, seed, "slot_", ranges).select(*within, F.col(value), "slot_")
     return slots.join(values, [*within, "slot_"]).drop("slot_")
 
 

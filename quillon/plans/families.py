@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import nulls, stats
+from quillon.operators import nulls, order, stats
 from quillon.plans import sql
 from quillon.plans.information import r6
 from quillon.plans.line_effects import edge_jsd, first_letters, rank_t
+from quillon.plans.resampling import line_shuffles
 from quillon.plans.vocabulary import word_counts
 from quillon.registry import analysis
 from quillon.sources import corpus as C
 
 
 @analysis(oracle="""with e as (select event_id, extract(hour from ts) * 30.0 + extract(minute from ts) * 0.5 as a from events),
-    p as (select event_id, a % 360 as a, lead(a % 360) over (order by event_id) as b from e where event_id < 2000)
+    p as (select event_id, a % 360 as a, lead(a % 360) over (order by event_id) as b from e)
     select event_id, round(least(abs(a - b), 360 - abs(a - b)), 4) as apart, case when least(abs(a - b), 360 - abs(a - b)) <= 8 then 'conjunction' when abs(least(abs(a - b), 360 - abs(a - b)) - 60) <= 8 then 'sextile'
       when abs(least(abs(a - b), 360 - abs(a - b)) - 90) <= 8 then 'square' when abs(least(abs(a - b), 360 - abs(a - b)) - 120) <= 8 then 'trine' when abs(least(abs(a - b), 360 - abs(a - b)) - 180) <= 8 then 'opposition' else 'none' end as aspect
     from p where b is not null""")
 def clock_angles(spark, sf_dir):
     """Clock positions as angles, the distance of neighbours on the circle, and the aspect that it makes."""
-    e = C.table(spark, sf_dir, "events").where("event_id < 2000")
+    e = order.before(C.table(spark, sf_dir, "events").select("event_id", "ts", F.lit(1).alias("one")), [], "event_id", "one", "at")
     a = (F.hour("ts") * 30.0 + F.minute("ts") * 0.5) % 360
-    at = e.select("event_id", a.alias("a"))
-    p = at.join(at.select((F.col("event_id") - 1).alias("event_id"), F.col("a").alias("b")), "event_id")
+    own = e.select("event_id", "at", a.alias("a"))
+    p = own.join(own.select((F.col("at") - 1).alias("at"), F.col("a").alias("b")), "at")
     apart = F.least(F.abs(F.col("a") - F.col("b")), 360 - F.abs(F.col("a") - F.col("b")))
     aspect = F.when(apart <= 8, "conjunction")
     for name, angle in (("sextile", 60), ("square", 90), ("trine", 120), ("opposition", 180)):
@@ -66,12 +67,18 @@ def otsu_threshold(spark, sf_dir):
     s as (select nx.corpus, nx.source, coalesce(shared, 0) / (x.k + y.k - coalesce(shared, 0)) as jaccard from nx left join j using (corpus, source, doc_id) join k x on x.doc_id = nx.doc_id join k y on y.doc_id = nx.after where nx.after is not null)
     select corpus, source, count(*) as pairs, round(avg(jaccard), 6) as coherence from s group by all""")
 def adjacent_document_coherence(spark, sf_dir):
-    """Shared vocabulary of consecutive documents of a source: each document meets only its neighbour."""
-    v = C.tokens(C.lines(spark, sf_dir)).groupBy("corpus", "source", "doc_id").agg(F.collect_set("word").alias("v"))
-    w = Window.partitionBy("corpus", "source").orderBy("doc_id")
-    p = v.select("corpus", "source", "v", F.lead("v").over(w).alias("u")).where("u is not null")
-    shared = F.size(F.array_intersect("v", "u"))
-    return p.select("corpus", "source", (shared / (F.size("v") + F.size("u") - shared)).alias("j")).groupBy("corpus", "source").agg(
+    """Shared vocabulary of consecutive documents of a source: documents are numbered, and words meet the next number's."""
+    by = ["corpus", "source"]
+    v = C.tokens(C.lines(spark, sf_dir)).select(*by, "doc_id", "word").distinct()
+    k = v.groupBy(*by, "doc_id").agg(F.count("*").alias("k")).withColumn("one", F.lit(1))
+    numbered = order.before(k, by, "doc_id", "one", "at").select(*by, "doc_id", "k", "at")
+    words = v.join(numbered, [*by, "doc_id"]).select(*by, "at", "word")
+    after = words.select(*by, (F.col("at") - 1).alias("at"), "word")
+    shared = words.join(after, [*by, "at", "word"]).groupBy(*by, "at").agg(F.count("*").alias("shared"))
+    after = numbered.select(*by, (F.col("at") - 1).alias("at"), F.col("k").alias("next"))
+    p = numbered.join(after, [*by, "at"]).join(shared, [*by, "at"], "left")
+    both = F.coalesce("shared", F.lit(0))
+    return p.select(*by, (both / (F.col("k") + F.col("next") - both)).alias("j")).groupBy(*by).agg(
         F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("coherence")
     )
 
@@ -93,7 +100,7 @@ def context_position_information(spark, sf_dir):
 
 
 @analysis(reps=20, oracle="""with d as (select doc_id, lang, n_chars as v, quality as q from documents join labels using (doc_id)),
-    r as (select *, row_number() over (partition by lang, rep order by doc_id) as slot, row_number() over (partition by lang, rep order by md5('cut|' || lang || '|' || rep || '|' || doc_id), doc_id) as k from d, (select unnest(range(0, 20)) as rep)),
+    r as (select *, row_number() over (partition by lang, rep order by md5('cut@|' || lang || '|' || rep || '|' || doc_id), doc_id) as slot, row_number() over (partition by lang, rep order by md5('cut|' || lang || '|' || rep || '|' || doc_id), doc_id) as k from d, (select unnest(range(0, 20)) as rep)),
     s as (select a.lang, a.rep, a.v, b.q from r a join r b on a.lang = b.lang and a.rep = b.rep and a.slot = b.k union all select lang, -1, v, q from d),
     c as (select lang, rep, v, sum(q) as ones, count(*) as n from s group by all),
     u as (select lang, rep, v, lead(v) over w as nx, sum(ones) over w as l1, sum(n) over w as ln, sum(ones) over (partition by lang, rep) as t1, sum(n) over (partition by lang, rep) as tn from c window w as (partition by lang, rep order by v)),
@@ -118,54 +125,127 @@ def implanted_effect(spark, sf_dir):
     return s.groupBy("corpus").agg(F.round(F.avg(F.element_at("k", 1)), 6).alias("first_len"), F.round(F.avg(F.element_at("k", -1)), 6).alias("last_len"))
 
 
-@analysis(reps=5, oracle=None)
-def slot_shuffle_null(spark, sf_dir, reps=5):
-    """Letters dealt anew among the words of a corpus that have a letter in the same place: entropy by place stays, order goes."""
-    w = word_counts(spark, sf_dir).where("corpus = 'en' and n >= 3").select("word")
-    slots = nulls.replicates(w.select("word", F.posexplode(F.filter(F.split("word", ""), lambda c: c != "")).alias("pos", "c")), reps)
-    dealt = nulls.permuted(slots, ["rep", "pos"], "c", ["word"], "slot")
-    told = dealt.groupBy("rep", "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("new"))
-    two = told.where(F.length("new") > 1).select("rep", F.explode(F.transform(F.sequence(F.lit(1), F.length("new") - 1), lambda i: F.substring(F.col("new"), i, F.lit(2)))).alias("ab"))
-    j = two.groupBy("rep", F.substring("ab", 1, 1).alias("a"), F.substring("ab", 2, 1).alias("b")).agg(F.count("*").alias("n"))
-    return stats.conditional_entropy(j, ["rep"], "a", "h").select("rep", r6("h"))
+PLACES = f"with {sql.COUNTS}, s as (select corpus, word, unnest(cs) as c, generate_subscripts(cs, 1) - 1 as pos, rep from (select corpus, word, string_split(word, '') as cs from counts), (select unnest(range(0, 5)) as rep))"
+FOLLOW = """, p as (select corpus, rep, unnest(list_transform(range(1, length(new)), lambda i: new[i:i + 1])) as ab from told where length(new) > 1),
+    j as (select corpus, rep, ab[1] as a, ab[2] as b, count(*)::double as n from p group by all),
+    x as (select corpus, rep, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from j group by all), y as (select corpus, rep, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from (select corpus, rep, a, sum(n) as n from j group by all) group by all)
+    select x.corpus, x.rep::int as rep, round(x.h - y.h, 6) as h from x join y on x.corpus = y.corpus and x.rep = y.rep"""
+
+
+def letter_places(spark, sf_dir, reps: int) -> DataFrame:
+    """(corpus, word, pos, c, rep): the letters of every type, once a replicate."""
+    w = word_counts(spark, sf_dir).select("corpus", "word")
+    return nulls.replicates(w.select("corpus", "word", F.posexplode(F.filter(F.split("word", ""), lambda c: c != "")).alias("pos", "c")), reps)
+
 
+def following(dealt: DataFrame) -> DataFrame:
+    """(corpus, rep, h): entropy of a letter after the one before it in words put together from their letters."""
+    by = ["corpus", "rep"]
+    told = dealt.groupBy(*by, "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("new"))
+    two = told.where(F.length("new") > 1).select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.length("new") - 1), lambda i: F.substring(F.col("new"), i, F.lit(2)))).alias("ab"))
+    j = two.groupBy(*by, F.substring("ab", 1, 1).alias("a"), F.substring("ab", 2, 1).alias("b")).agg(F.count("*").alias("n"))
+    return stats.conditional_entropy(j, by, "a", "h").select(*by, r6("h"))
 
-@analysis(reps=20, oracle=None)
+
+@analysis(reps=5, oracle=PLACES + """, r as (select *, row_number() over (partition by corpus, rep, pos order by md5('slot@|' || corpus || '|' || rep || '|' || pos || '|' || word), word) as slot, row_number() over (partition by corpus, rep, pos order by md5('slot|' || corpus || '|' || rep || '|' || pos || '|' || word), word) as k from s),
+    told as (select a.corpus, a.rep, a.word, string_agg(b.c, '' order by a.pos) as new from r a join r b on a.corpus = b.corpus and a.rep = b.rep and a.pos = b.pos and a.slot = b.k group by a.corpus, a.rep, a.word)""" + FOLLOW)
+def slot_shuffle_null(spark, sf_dir, reps=5):
+    """Letters dealt anew among a corpus's types that have a letter in the same place: entropy by place stays, order goes."""
+    return following(nulls.permuted(letter_places(spark, sf_dir, reps), ["corpus", "rep", "pos"], "c", ["word"], "slot"))
+
+
+@analysis(reps=5, oracle=PLACES + """, u as (select corpus, pos, c, count(*)::bigint as n from s where rep = 0 group by all),
+    cum as (select corpus, pos, c, sum(n) over w as upto, coalesce(sum(n) over (partition by corpus, pos order by c rows between unbounded preceding and 1 preceding), 0) as since, sum(n) over (partition by corpus, pos) as total from u window w as (partition by corpus, pos order by c)),
+    d as (select *, ('0x' || substring(md5('resample|' || corpus || '|' || rep || '|' || pos || '|' || word), 1, 8))::bigint % 1000000000 as u from s),
+    told as (select d.corpus, rep, word, string_agg(cum.c, '' order by d.pos) as new from d join cum on cum.corpus = d.corpus and cum.pos = d.pos and u >= since * 1000000000 // total and u < upto * 1000000000 // total group by d.corpus, rep, word)""" + FOLLOW)
+def slot_resample_null(spark, sf_dir, reps=5):
+    """Each letter drawn with replacement from the letters that the corpus's types have in its place."""
+    s = letter_places(spark, sf_dir, reps)
+    u = s.where("rep = 0").groupBy("corpus", "pos", "c").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("corpus", "pos")  # an alphabet
+    cum = u.select("corpus", "pos", "c", F.sum("n").over(own.orderBy("c")).alias("upto"), F.sum("n").over(own).alias("total"))
+    packed = cum.groupBy("corpus", "pos").agg(F.array_sort(F.collect_list(F.struct(F.expr("upto * 1000000000 div total").alias("upto"), "c"))).alias("letters"))
+    h = F.conv(F.substring(nulls.draw("resample", "corpus", "rep", "pos", "word"), 1, 8), 16, 10).cast("long") % 1_000_000_000
+    d = s.withColumn("u", h).drop("c").join(F.broadcast(packed), ["corpus", "pos"])  # an alphabet a place
+    return following(d.select("corpus", "rep", "word", "pos", F.filter("letters", lambda x: x["upto"] > F.col("u"))[0]["c"].alias("c")))
+
+
+@analysis(reps=5, oracle=PLACES + """, r as (select *, row_number() over (partition by corpus, rep order by md5('flat@|' || corpus || '|' || rep || '|' || word || '|' || pos), word, pos) as slot, row_number() over (partition by corpus, rep order by md5('flat|' || corpus || '|' || rep || '|' || word || '|' || pos), word, pos) as k from s),
+    told as (select a.corpus, a.rep, a.word, string_agg(b.c, '' order by a.pos) as new from r a join r b on a.corpus = b.corpus and a.rep = b.rep and a.slot = b.k group by a.corpus, a.rep, a.word)""" + FOLLOW)
+def flat_shuffle_null(spark, sf_dir, reps=5):
+    """All letters of a corpus's types dealt anew, whatever their places; words keep their lengths."""
+    return following(nulls.permuted(letter_places(spark, sf_dir, reps), ["corpus", "rep"], "c", ["word", "pos"], "flat"))
+
+
+CHUNKED = f"""with {sql.COUNTS}, o as (select corpus, word, regexp_extract_all({sql.replaced("word", T.ONE.items())}, '({T.CHUNK}|.)', 1) as p from counts),
+    u as (select corpus, word, unnest(p) as p, generate_subscripts(p, 1) as i from o), v as (select *, sum(1) over (partition by corpus, word order by i) as k from u where regexp_matches(p, '^{T.STARTS}')),
+    c as (select corpus, word, p, k - 1 as i, max(k) over (partition by corpus, word) as m from (select * from v where k <= {T.MOST_CHUNKS}))"""
+
+
+@analysis(reps=20, oracle=CHUNKED + """, f as (select corpus, -1 as rep, word, p, i, m from c where m >= 2 union all
+      select corpus, rep, word, p, row_number() over (partition by corpus, rep, word order by md5('chunk|' || rep || '|' || word || '|' || i)) - 1, m from c, (select unnest(range(0, 20)) as rep) where m >= 2),
+    e as (select corpus, rep, list(distinct p) filter (i = 0) as a, list(distinct p) filter (i = m - 1) as b from f group by all),
+    j as (select corpus, rep, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as j from e), r as (select corpus, j as real from j where rep = -1)
+    select j.corpus, round(any_value(real), 6) as real, round(avg(j), 6) as null_mean, round((1 + count(*) filter (j <= real)) / 21.0, 6) as p from j join r using (corpus) where rep >= 0 group by j.corpus""")
 def chunk_shuffle_null(spark, sf_dir, reps=20):
     """Overlap of the chunks that begin and end words, against the chunks of each word in a drawn order."""
-    c = word_counts(spark, sf_dir).where("corpus = 'en'").select("word", F.transform(T.chunks(F.col("word"))["chunks"], lambda x: F.array_join(x, "")).alias("ch")).where(F.size("ch") >= 2)
+    ch = F.transform(T.chunks(F.col("word"))["chunks"], lambda x: F.array_join(x, ""))
+    c = word_counts(spark, sf_dir).select("corpus", "word", ch.alias("ch")).where(F.size("ch") >= 2)
 
     def overlap(df: DataFrame, by: list[str]) -> DataFrame:
         e = df.select(*by, F.element_at("ch", 1).alias("i"), F.element_at("ch", -1).alias("f"))
         s = e.groupBy(*by).agg(F.collect_set("i").alias("i"), F.collect_set("f").alias("f"))  # chunk types, some thousands
         return s.select(*by, (F.size(F.array_intersect("i", "f")) / F.size(F.array_union("i", "f"))).alias("j"))
 
-    real = overlap(c.withColumn("g", F.lit(0)), ["g"]).select(F.col("j").alias("real"))
-    null = overlap(nulls.replicates(c, reps).withColumn("ch", nulls.shuffled(F.col("ch"), "chunk", "rep", "word")), ["rep"]).crossJoin(F.broadcast(real))
-    return null.agg(
+    real = overlap(c, ["corpus"]).withColumnRenamed("j", "real")
+    null = overlap(nulls.replicates(c, reps).withColumn("ch", nulls.shuffled(F.col("ch"), "chunk", "rep", "word")), ["corpus", "rep"]).join(real, "corpus")
+    return null.groupBy("corpus").agg(
         F.round(F.max("real"), 6).alias("real"), F.round(F.avg("j"), 6).alias("null_mean"), F.round(nulls.empirical_p(-F.col("j"), -F.col("real")), 6).alias("p")
     )
 
 
-@analysis(reps=10, oracle=None)
+@analysis(reps=10, oracle=f"""with {sql.PAIRS}, t as (select corpus, a as word, b[1] as c, pos = 1 as start, doc_id, line_no, pos - 1 as pos from pairs),
+    o as (select corpus, word, count(*) as n from t group by all having count(*) >= 100 and count(*) filter (start) >= 20), u as (select t.* from t join o using (corpus, word)),
+    r as (select rep, corpus, word, c, sum(start::int) over (partition by rep, corpus, word) >= row_number() over (partition by rep, corpus, word order by md5('resplit|' || rep || '|' || corpus || '|' || word || '|' || doc_id || '|' || line_no || '|' || pos), doc_id, line_no, pos) as start from u, (select unnest(range(0, 10)) as rep)
+      union all select -1, corpus, word, c, start from u),
+    s as (select rep, corpus, word, c, count(*) filter (start)::double as a, count(*) filter (not start)::double as b from r group by all),
+    p as (select *, a / sum(a) over w as p, b / sum(b) over w as q from s window w as (partition by rep, corpus, word)),
+    d as (select rep, corpus, word, sum(0.5 * case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + 0.5 * case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) as jsd from p group by all),
+    m as (select rep, corpus, avg(jsd) as jsd from d group by all), x as (select corpus, jsd as real from m where rep = -1)
+    select m.corpus, round(any_value(real), 6) as real, round(avg(jsd), 6) as null_mean, round((1 + count(*) filter (jsd >= real)) / 11.0, 6) as p from m join x using (corpus) where rep >= 0 group by m.corpus""")
 def pooled_resplit_jsd(spark, sf_dir, reps=10):
     """Divergence of a type's next letters at a line's start and elsewhere, against positions permuted inside the type."""
-    p = C.pairs(C.lines(spark, sf_dir), keep=("corpus", "doc_id", "line_no")).where("corpus = 'en'")
-    t = p.select(F.col("a").alias("word"), F.substring("b", 1, 1).alias("c"), (F.col("pos") == 0).alias("start"), "doc_id", "line_no", "pos")
-    often = t.groupBy("word").agg(F.count("*").alias("n"), F.count_if("start").alias("k")).where("n >= 100 and k >= 20")
-    t = t.join(often.select("word", "n"), "word")
+    p = C.pairs(C.lines(spark, sf_dir), keep=("corpus", "doc_id", "line_no"))
+    t = p.select("corpus", F.col("a").alias("word"), F.substring("b", 1, 1).alias("c"), (F.col("pos") == 0).alias("start"), "doc_id", "line_no", "pos")
+    often = t.groupBy("corpus", "word").agg(F.count("*").alias("n"), F.count_if("start").alias("k")).where("n >= 100 and k >= 20")
+    t = t.join(often.select("corpus", "word", "n"), ["corpus", "word"])
 
     def split(df: DataFrame, by: list[str]) -> DataFrame:
         s = df.groupBy(*by, "word", "c").agg(F.count_if("start").cast("double").alias("a"), F.count_if(~F.col("start")).cast("double").alias("b"))
         return stats.jsd(s, [*by, "word"]).groupBy(*by).agg(F.avg("jsd").alias("jsd"))
 
-    real = split(t.withColumn("g", F.lit(0)), ["g"]).select(F.col("jsd").alias("real"))
-    dealt = nulls.redealt(nulls.replicates(t, reps), ["rep", "word"], "start", ["doc_id", "line_no", "pos"], "resplit", "n")
-    null = split(dealt, ["rep"]).crossJoin(F.broadcast(real))
-    return null.agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("jsd"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("jsd"), F.col("real")), 6).alias("p"))
+    real = split(t, ["corpus"]).withColumnRenamed("jsd", "real")
+    dealt = nulls.redealt(nulls.replicates(t, reps), ["rep", "corpus", "word"], "start", ["doc_id", "line_no", "pos"], "resplit", "n")
+    null = split(dealt, ["corpus", "rep"]).join(real, "corpus")
+    return null.groupBy("corpus").agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("jsd"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("jsd"), F.col("real")), 6).alias("p"))
+
+
+LADDER = f"""with {sql.TOKENS}, n as (select corpus, count(*) as lines from lines group by corpus),
+    sh as (select corpus, rep, line_len, row_number() over (partition by rep, doc_id, line_no order by substring(md5('ladder|' || rep // 4 || '|' || doc_id || '|' || line_no || '|' || pos), rep % 4 * 8 + 1, 8), pos) - 1 as pos, word[1] as cls from tokens, (select unnest(range(0, 10)) as rep)),
+    u as (select corpus, rep, cls, (pos - 1.5) / (line_len - 4) as u from sh where pos >= 2 and pos < line_len - 2 union all select corpus, -1, word[1], (pos - 1.5) / (line_len - 4) from tokens where pos >= 2 and pos < line_len - 2),
+    c as (select corpus, rep, cls, avg(u) as m, count(*) as n from u group by all having count(*) >= 20), g as (select corpus, rep, sum(m * n) / sum(n) as g from c group by all),
+    t as (select c.corpus, c.rep, sum(n * (m - g) * (m - g)) / sum(n) as t from c join g on g.corpus = c.corpus and g.rep = c.rep group by all),
+    tt as (select corpus, max(t) filter (rep = -1) as t, max(t) filter (rep >= 0) as null_max from t group by corpus),
+    l3 as (select *, doc_id % 2 as half from lines where len(words) >= 3),
+    e as (select corpus, half, words[1][1] as c, 1 as edge from l3 union all select corpus, half, unnest(list_transform(words[2:-2], lambda w: w[1])), 0 from l3),
+    es as (select corpus, half, c, sum(edge)::double as a, sum(1 - edge)::double as b from e group by all), ep as (select *, a / sum(a) over w as p, b / sum(b) over w as q from es window w as (partition by corpus, half)),
+    ed as (select corpus, half, sum(0.5 * case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + 0.5 * case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) as jsd from ep group by all),
+    h as (select corpus, avg(jsd) as edge, max(jsd) - min(jsd) as noise from ed group by corpus)
+    select corpus, lines, round(t, 6) as t, round(null_max, 6) as null_max, round(edge, 6) as edge, round(noise, 6) as noise,
+      case when lines < 50 then 'gate_failed' when t <= null_max then 'reducible' when edge <= 1.5 * noise then 'insufficient' else 'bind' end as verdict from n join tt using (corpus) join h using (corpus)"""
 
 
-@analysis(reps=10, oracle=None)
+@analysis(reps=10, oracle=LADDER)
 def discipline_verdicts(spark, sf_dir, reps=10):
     """A ladder of verdicts on each corpus: gate_failed, insufficient, reducible or bind.
 
@@ -175,7 +255,7 @@ def discipline_verdicts(spark, sf_dir, reps=10):
     lines = C.lines(spark, sf_dir)
     n = lines.groupBy("corpus").agg(F.count("*").alias("lines"))
     real = rank_t(first_letters(lines), ["corpus"]).select("corpus", "t")
-    shuffled = nulls.replicates(lines, reps).withColumn("words", nulls.shuffled(F.col("words"), "ladder", "rep", "doc_id", "line_no"))
+    shuffled = line_shuffles(lines, reps, "ladder")
     null = rank_t(first_letters(shuffled), ["corpus", "rep"]).groupBy("corpus").agg(F.max("t").alias("null_max"))
     halves = edge_jsd(lines.withColumn("half", F.col("doc_id") % 2), ["corpus", "half"]).groupBy("corpus").agg(
         F.avg("line_init_jsd").alias("edge"), (F.max("line_init_jsd") - F.min("line_init_jsd")).alias("noise")

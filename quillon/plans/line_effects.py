@@ -85,18 +85,15 @@ def adjacency(lines: DataFrame, by: list[str], near: float = 0.25) -> DataFrame:
     )
 
 
-@analysis(oracle=f"""with {sql.PAIRS}, j as (select corpus, a, b, count(*) as n from pairs where corpus = 'en' group by all),
-    f as (select corpus, n, a = b as e, a <> b and levenshtein(a, b) <= 0.25 * greatest(length(a), length(b)) as c from j)
-    select corpus, round(sum(n) filter (e) / sum(n), 6) as adj_exact, round(sum(n) filter (c) / sum(n), 6) as adj_near from f group by corpus""")
+@analysis(oracle=f"""with {sql.COUNTS}, {sql.PAIRS[len(sql.LINES) + 2:]}, {sql.ALPHABET}, j as (select corpus, a, b, count(*) as n from pairs group by all),
+    e as (select corpus, n, a = b as e, a <> b and abs(length(a) - length(b)) <= 0.25 * greatest(length(a), length(b)) and {sql.distance("a", "b")} <= 0.25 * greatest(length(a), length(b)) as c from j, alphabet)
+    select corpus, round(sum(n) filter (e) / sum(n), 6) as adj_exact, round(coalesce(sum(n) filter (c), 0) / sum(n), 6) as adj_near from e group by corpus""")
 def adjacency_repetition(spark, sf_dir):
-    """Of the English corpus, whose letters take one byte: DuckDB's levenshtein counts bytes."""
-    a = adjacency(C.lines(spark, sf_dir).where("corpus = 'en'"), ["corpus"])
+    """Neighbours in a line that are equal, or near each other in their letters."""
+    a = adjacency(C.lines(spark, sf_dir), ["corpus"])
     return a.select("corpus", r6("adj_exact"), r6("adj_near"))
 
 
-# ---- bursts and runs
-
-
 def hapax_bursts(lines: DataFrame, least: int = 10) -> DataFrame:
     """(corpus, burstiness, n_hapax): of the gaps, in lines, between words that occur once in the corpus."""
     numbered = C.tokens(order.number_lines(lines))
@@ -243,17 +240,17 @@ def forward_fill_section(spark, sf_dir):
     return C.lines(spark, sf_dir).select("corpus", "doc_id", "line_no", F.last(head, ignorenulls=True).over(w).alias("section"))
 
 
-@analysis(oracle=f"""with {sql.PAIRS}, t as (select a as word, 'right' as side, b as other from pairs where corpus = 'en' union all select b, 'left', a from pairs where corpus = 'en'),
-    c as (select word, side, other, count(*) as n from t where word in ('the', 'and', 'of') group by all)
-    select word, side, other, n from c qualify row_number() over (partition by word, side order by n desc, other) <= 10""")
-def word_contexts(spark, sf_dir):
-    """The ten most frequent neighbours on either side of three words."""
-    p = C.pairs(C.lines(spark, sf_dir).where("corpus = 'en'"))
-    t = p.select(F.col("a").alias("word"), F.lit("right").alias("side"), F.col("b").alias("other")).unionByName(
-        p.select(F.col("b").alias("word"), F.lit("left").alias("side"), F.col("a").alias("other"))
+@analysis(oracle=f"""with {sql.PAIRS}, t as (select corpus, a as word, 'right' as side, b as other from pairs union all select corpus, b, 'left', a from pairs),
+    c as (select corpus, word, side, other, count(*) as n from t where word in ('the', 'and', 'of') group by all)
+    select corpus, word, side, other, n from c qualify row_number() over (partition by corpus, word, side order by n desc, other) <= 10""")
+def word_contexts(spark, sf_dir, words=("the", "and", "of")):
+    """The ten most frequent neighbours on either side of the words asked for, in every corpus."""
+    p = C.pairs(C.lines(spark, sf_dir))
+    t = p.select("corpus", F.col("a").alias("word"), F.lit("right").alias("side"), F.col("b").alias("other")).unionByName(
+        p.select("corpus", F.col("b").alias("word"), F.lit("left").alias("side"), F.col("a").alias("other"))
     )
-    c = stats.freq(t.where("word in ('the', 'and', 'of')"), ["word", "side"], "other")
-    w = Window.partitionBy("word", "side").orderBy(F.desc("n"), "other")
+    c = stats.freq(t.where(F.col("word").isin(*words)), ["corpus", "word", "side"], "other")
+    w = Window.partitionBy("corpus", "word", "side").orderBy(F.desc("n"), "other")
     return c.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")
 
 
@@ -369,11 +366,15 @@ def corpus_fingerprint(spark, sf_dir):
     return fp.select("corpus", *(F.round(f, 5).alias(f) for f in ORACLE_FEATURES))
 
 
-@analysis()
+NEAR = f""", {sql.ALPHABET}, pj as (select corpus, words[i] as a, words[i + 1] as b, count(*)::double as n from (select *, unnest(range(1, len(words))) as i from lines) group by all),
+    an as (select corpus, sum(case when a <> b and abs(length(a) - length(b)) <= 0.25 * greatest(length(a), length(b)) and {sql.distance("a", "b")} <= 0.25 * greatest(length(a), length(b)) then n else 0 end) / sum(n) as adj_near from pj, alphabet group by corpus)"""
+
+
+@analysis(oracle=FP + NEAR + " select corpus, " + ", ".join(f"round({f}, 5) as {f}" for f in FEATURES) + " from fp left join an using (corpus)")
 def corpus_fingerprint_17(spark, sf_dir):
     """All 17 features."""
     fp = fingerprint(documents_and_benchmark(spark, sf_dir))
-    return fp.select("corpus", *(F.round(f, 6).alias(f) for f in FEATURES))
+    return fp.select("corpus", *(F.round(f, 5).alias(f) for f in FEATURES))
 
 
 COMPARED = ORACLE_FEATURES[2:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -67,11 +67,31 @@ def collapse_runs(spark, sf_dir):
     return c.agg(F.sum("n").alias("n"))
 
 
-@analysis()
+@analysis(oracle=f"""with recursive {sql.COUNTS}, g as (select [{", ".join(f"'{x}'" for x in T.GALLOWS)}] as g),
+    strip as (select corpus, word, n, word as s, '' as taken, 1 as k from counts
+      union all select corpus, word, n, replace(s, g[k], ''), taken || repeat(g[k], ((length(s) - length(replace(s, g[k], ''))) // length(g[k]))::int), case when contains(replace(s, g[k], ''), g[k]) then k else k + 1 end from strip, g where k <= {len(T.GALLOWS)})
+    select corpus, s as stripped, taken, sum(n)::bigint as n from strip where k > {len(T.GALLOWS)} group by all""")
 def strip_markers(spark, sf_dir):
-    """Words without their gallows, and which ones went; tests hold it against the loop that defines it."""
-    w = word_counts(spark, sf_dir).select("corpus", "n", T.strip_gallows(F.col("word")).alias("stripped"), F.array_join(T.gallows(F.col("word")), "").alias("taken"))
-    return w.groupBy("corpus", "stripped", "taken").agg(F.sum("n").alias("n"))
+    """Words without their gallows, and which ones went, nested ones until none is left."""
+    w = word_counts(spark, sf_dir).withColumn("x", T.stripped(F.col("word")))
+    return w.groupBy("corpus", F.col("x.rest").alias("stripped"), F.array_join("x.taken", "").alias("taken")).agg(F.sum("n").alias("n"))
+
+
+# Pieces of words with marks inside marks, for a test corpus of the same operators.
+NESTED = ("cth", "ct", "ckh", "kch", "h", "c", "t", "s", "tsh", "o", "e")
+
+
+@analysis(oracle=f"""with recursive w as (select i, string_agg(([{", ".join(f"'{x}'" for x in NESTED)}])[('0x' || substring(md5('nested|' || i || '|' || k), 1, 6))::bigint % {len(NESTED)} + 1], '' order by k) as word from range(2000) t(i), (select unnest(range(0, 12)) as k) group by i),
+    g as (select [{", ".join(f"'{x}'" for x in T.GALLOWS)}] as g),
+    strip as (select i, word, word as s, '' as taken, 1 as k from w
+      union all select i, word, replace(s, g[k], ''), taken || repeat(g[k], ((length(s) - length(replace(s, g[k], ''))) // length(g[k]))::int), case when contains(replace(s, g[k], ''), g[k]) then k else k + 1 end from strip, g where k <= {len(T.GALLOWS)})
+    select word, s as stripped, regexp_replace(s, 'e+', 'e', 'g') as collapsed, taken from strip where k > {len(T.GALLOWS)}""")
+def nested_markers(spark, sf_dir):
+    """Made words in which taking a mark out makes another: stripped, collapsed, and the marks that went."""
+    pick = lambda k: F.get(F.array(*map(F.lit, NESTED)), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("nested"), F.col("id").cast("string"), k.cast("string"))), 1, 6), 16, 10).cast("long") % len(NESTED)).cast("int"))
+    w = spark.range(2000).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), pick), "").alias("word"))
+    x = w.withColumn("x", T.stripped(F.col("word")))
+    return x.select("word", F.col("x.rest").alias("stripped"), T.collapse_e(F.col("x.rest")).alias("collapsed"), F.array_join("x.taken", "").alias("taken"))
 
 
 PFX = "case " + " ".join(f"when starts_with(word, '{p}') and length(word) > {len(p) + 1} then '{p}'" for p in T.PREFIXES) + " else '' end"
@@ -96,15 +116,25 @@ def edge_affix_profile(spark, sf_dir):
     return e.agg(F.sum("n").alias("n"))
 
 
-@analysis()
+@analysis(oracle=f"""with {sql.COUNTS}, o as (select corpus, word, n, regexp_extract_all({sql.replaced("word", T.ONE.items())}, '({T.CHUNK}|.)', 1) as p from counts),
+    u as (select corpus, word, n, unnest(p) as p, generate_subscripts(p, 1) as i from o), f as (select *, regexp_matches(p, '^{T.STARTS}') as fits, {sql.replaced("p", [(b, a) for a, b in T.ONE.items()])} as told from u),
+    r as (select *, fits and sum(fits::int) over (partition by corpus, word order by i) <= {T.MOST_CHUNKS} as chunk from f),
+    w as (select corpus, word, n, coalesce(string_agg(told, '|' order by i) filter (chunk), '') as chunks, coalesce(string_agg(told, '' order by i) filter (not chunk), '') as unparsed from r group by corpus, word, n)
+    select corpus, chunks, unparsed, sum(n)::bigint as n from w group by all""")
 def chunk_parse(spark, sf_dir):
-    """Words by their chunks and what no chunk takes; tests hold the parser against a plain one."""
+    """Words by their chunks and what no chunk takes."""
     c = word_counts(spark, sf_dir).select("corpus", "n", T.chunks(F.col("word")).alias("c"))
     shape = F.array_join(F.transform("c.chunks", lambda x: F.array_join(x, "")), "|")
     return c.groupBy("corpus", shape.alias("chunks"), F.array_join("c.unparsed", "").alias("unparsed")).agg(F.sum("n").alias("n"))
 
 
-@analysis()
+_NAMED = "[" + ", ".join(f"'g{i}'" for i in range(13)) + "]"
+_TWELVE = "^" + "".join(f"({'|'.join(s)})?" for s in T.TWELVE_SLOTS) + "(.*)$"
+
+
+@analysis(oracle=f"""with {sql.COUNTS}, x as (select corpus, n, regexp_extract(word, '{_TWELVE}', {_NAMED}) as x from counts),
+    s as (select corpus, n, unnest([{", ".join(f"x.g{i}" for i in range(12))}]) as token, unnest(range(0, 12)) as slot from x)
+    select corpus, slot::int as slot, token, sum(n)::bigint as n from s where token <> '' group by all""")
 def slot_decompose(spark, sf_dir):
     """How often each of twelve ordered slots is filled with what."""
     w = word_counts(spark, sf_dir).select("corpus", "n", T.twelve_slots(F.col("word")).alias("s"))
@@ -112,6 +142,14 @@ def slot_decompose(spark, sf_dir):
     return e.groupBy("corpus", "slot", "token").agg(F.sum("n").alias("n"))
 
 
+@analysis(oracle=f"""with {sql.COUNTS}, d as (select corpus, n, word, regexp_extract(word, '{_TWELVE}', {_NAMED}).g12 as rest from counts)
+    select corpus, rest = '' as whole, count(*) as types, sum(n)::bigint as n, count(distinct rest) as rests from d group by all""")
+def slot_coverage(spark, sf_dir):
+    """Types and tokens that the twelve slots take whole, and what they leave of others."""
+    w = word_counts(spark, sf_dir).select("corpus", "n", T.twelve_slots(F.col("word"))["rest"].alias("rest"))
+    return w.groupBy("corpus", (F.col("rest") == "").alias("whole")).agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.count_distinct("rest").alias("rests"))
+
+
 @analysis(oracle=f"with {sql.COUNTS} select corpus, regexp_replace(word, '[aeiou]', '', 'g') as skeleton, count(*) as types, sum(n)::bigint as n from counts group by 1, 2 having count(*) > 1")
 def consonant_skeleton(spark, sf_dir):
     s = word_counts(spark, sf_dir).groupBy("corpus", T.skeleton(F.col("word")).alias("skeleton"))
@@ -156,44 +194,78 @@ def minimal_pairs(spark, sf_dir):
     return p.groupBy("corpus", "x", "y").agg(F.count("*").alias("pairs")).where("pairs >= 5")
 
 
-@analysis(oracle=f"""with {sql.COUNTS}, w as (select word, n from counts where corpus = 'en' and n >= 5)
-    select a.word as first, b.word as second from w a join w b on a.word < b.word where levenshtein(a.word, b.word) = 1""")
+@analysis(oracle=f"""with {sql.COUNTS}, cut as (select corpus, word, i, word[:i - 1] || word[i + 1:] as rest from (select corpus, word, unnest(range(1, length(word) + 1)) as i from counts)),
+    p as (select a.corpus, a.word as x, b.word as y from cut a join cut b on a.corpus = b.corpus and a.i = b.i and a.rest = b.rest and a.word < b.word
+      union select c.corpus, least(c.word, w.word), greatest(c.word, w.word) from cut c join counts w on w.corpus = c.corpus and w.word = c.rest)
+    select corpus, x as first, y as second from p""")
 def near_dup_edit1(spark, sf_dir):
-    """Words one edit apart: equal frames are substitutions, a frame that is a word with a mark put in is an insertion."""
-    w = word_counts(spark, sf_dir).where("corpus = 'en' and n >= 5").select("word")
-    cut = w.select("word", F.explode(T.masked(F.col("word"))).alias("m")).select("word", "m.frame")
-    swaps = cut.select(F.col("word").alias("a"), "frame").join(cut.select(F.col("word").alias("b"), "frame"), "frame").where("a < b").select("a", "b")
-    shorter = cut.select(F.col("word").alias("long"), F.replace("frame", F.lit("_"), F.lit("")).alias("word")).join(w, "word")
-    drops = shorter.select(F.least("long", "word").alias("a"), F.greatest("long", "word").alias("b"))
-    return swaps.unionByName(drops).distinct().select(F.col("a").alias("first"), F.col("b").alias("second"))
-
-
-@analysis(oracle=f"""with {sql.COUNTS}, w as (select word from counts where corpus = 'en' and n >= 5 and regexp_full_match(word, '[a-z]+')),
-    b as (select distinct unnest(regexp_extract_all(lower(text), '([\\p{{L}}]+)', 1)) as entry from benchmark),
-    p as (select word, entry, levenshtein(word, entry) as d from w join b on word[1] = entry[1] and abs(length(word) - length(entry)) <= 2 where levenshtein(word, entry) <= 2 and word <> entry and regexp_full_match(entry, '[a-z]+'))
-    select word, min(d) as distance, min(entry) filter (d = best) as entry from (select *, min(d) over (partition by word) as best from p) group by word""")
-def fuzzy_dictionary_match(spark, sf_dir):
-    """The nearest dictionary entry within two edits, of those with the same first letter and a length within two."""
-    w = word_counts(spark, sf_dir).where("corpus = 'en' and n >= 5 and word rlike '^[a-z]+$'").select("word")
-    entries = C.table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("entry")).distinct()
-    a = w.select("word", F.substring("word", 1, 1).alias("f"), F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("k"))
-    b = entries.where("entry rlike '^[a-z]+$'").select("entry", F.substring("entry", 1, 1).alias("f"), F.length("entry").alias("k"))
-    p = a.join(b, ["f", "k"]).withColumn("d", F.levenshtein("word", "entry")).where("d <= 2 and word <> entry")
-    return p.groupBy("word").agg(F.min(F.struct("d", "entry")).alias("m")).select("word", F.col("m.d").cast("long").alias("distance"), "m.entry")
+    """Types one edit apart, in every corpus: equal frames are substitutions, a word that is another less a letter an insertion."""
+    w = word_counts(spark, sf_dir).select("corpus", "word")
+    cut = w.select("corpus", "word", F.explode(T.masked(F.col("word"))).alias("m")).select("corpus", "word", "m.frame")
+    swaps = cut.withColumnRenamed("word", "a").join(cut.withColumnRenamed("word", "b"), ["corpus", "frame"]).where("a < b").select("corpus", "a", "b")
+    shorter = cut.select("corpus", F.col("word").alias("long"), F.replace("frame", F.lit("_"), F.lit("")).alias("word")).join(w, ["corpus", "word"])
+    drops = shorter.select("corpus", F.least("long", "word").alias("a"), F.greatest("long", "word").alias("b"))
+    return swaps.unionByName(drops).distinct().select("corpus", F.col("a").alias("first"), F.col("b").alias("second"))
 
 
-@analysis()
+def deletions(word, most: int = 2):
+    """The word less up to `most` letters, in all ways: two words within `most` edits have one of these in common."""
+
+    def less(w):
+        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    out = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda w: w != ""), less)))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def dictionary(spark, sf_dir) -> DataFrame:
+    """(entry): the benchmark's words."""
+    return C.table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("entry")).distinct()
+
+
+ENTRIES = "d as (select distinct unnest(regexp_extract_all(lower(text), '([\\p{L}]+)', 1)) as entry from benchmark)"
+LEAST_FUZZY = 4
+
+
+@analysis(oracle=f"""with {sql.COUNTS}, {sql.ALPHABET}, {ENTRIES}, one as (select x, unnest(list_distinct(list_concat([x], list_transform(range(1, length(x) + 1), lambda i: x[:i - 1] || x[i + 1:])))) as v from (select distinct word as x from counts where length(word) >= {LEAST_FUZZY} union select entry from d where length(entry) >= {LEAST_FUZZY})),
+    del as materialized (select distinct x, unnest(list_distinct(list_concat([v], list_transform(range(1, length(v) + 1), lambda i: v[:i - 1] || v[i + 1:])))) as v from one),
+    p as (select distinct a.x as word, b.x as entry from del a join del b using (v) where b.x in (select entry from d) and a.x in (select word from counts) and a.x <> b.x and abs(length(a.x) - length(b.x)) <= 2),
+    r as (select word, entry, {sql.distance("word", "entry")} as d from p, alphabet)
+    select corpus, word, min(r.d)::bigint as distance, min_by(entry, (r.d, entry)) as entry from counts join r using (word) where r.d <= 2 group by corpus, word""")
+def fuzzy_dictionary_match(spark, sf_dir):
+    """The nearest other dictionary entry within two edits of each type of four letters or more (two edits are most of a shorter one).
+
+    Words meet by what is left of them after up to two deletions, so no word is compared with a whole block.
+    """
+    w = word_counts(spark, sf_dir).where(F.length("word") >= LEAST_FUZZY).select("corpus", "word")
+    a = w.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("v"))
+    b = dictionary(spark, sf_dir).where(F.length("entry") >= LEAST_FUZZY).select("entry", F.explode(deletions(F.col("entry"))).alias("v"))
+    p = a.join(b, "v").where("word <> entry").where(F.abs(F.length("word") - F.length("entry")) <= 2).select("word", "entry").distinct()
+    p = p.withColumn("d", F.levenshtein("word", "entry")).where("d <= 2")
+    best = p.groupBy("word").agg(F.min(F.struct("d", "entry")).alias("m"))
+    return w.join(best, "word").select("corpus", "word", F.col("m.d").cast("long").alias("distance"), "m.entry")
+
+
+@analysis(oracle=f"""with {sql.COUNTS}, {ENTRIES}, a as (select corpus, word, s, unnest(list_distinct(list_transform(range(1, length(s) + 1), lambda i: s[:i - 1] || s[i + 1:]))) as v from (select corpus, word, translate(word, 'aeiou', '') as s from counts) where length(s) >= 3),
+    b as (select entry, s as t, unnest(list_distinct(list_transform(range(1, length(s) + 1), lambda i: s[:i - 1] || s[i + 1:]))) as v from (select entry, translate(entry, 'aeiou', '') as s from d) where length(s) >= 3),
+    p as (select distinct corpus, word, entry, length(s) - (s <> t)::int as lcs from a join b using (v) where length(s) = length(t))
+    select corpus, word, max(lcs)::int as lcs, max_by(entry, (lcs, entry)) as entry from p group by corpus, word""")
 def lcs_match(spark, sf_dir):
-    """Skeletons of frequent words against dictionary entries of the same skeleton length: longest common subsequence."""
-    from quillon.functions.udfs import lcs_length
-
-    w = word_counts(spark, sf_dir).where("corpus = 'en' and n >= 20").select("word")
-    entries = C.table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("entry")).distinct()
-    a = w.select("word", T.skeleton(F.col("word")).alias("s")).withColumn("k", F.length("s"))
-    b = entries.select("entry", T.skeleton(F.col("entry")).alias("t")).withColumn("k", F.length("t"))
-    p = a.join(b, "k").where("k >= 3").withColumn("lcs", lcs_length("s", "t"))
-    best = p.groupBy("word").agg(F.max(F.struct("lcs", "entry")).alias("m"))
-    return best.select("word", "m.entry", "m.lcs")
+    """Each type's best dictionary entry by the longest common subsequence of their skeletons, of as many consonants.
+
+    Skeletons of k consonants that share a subsequence of k - 1 are the same less one consonant each, so they meet by
+    an equi-join; words without such an entry have none.
+    """
+    less = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c)))))
+    w = word_counts(spark, sf_dir).select("corpus", "word", T.skeleton(F.col("word")).alias("s")).where(F.length("s") >= 3)
+    b = dictionary(spark, sf_dir).select("entry", T.skeleton(F.col("entry")).alias("t")).where(F.length("t") >= 3)
+    p = w.withColumn("v", F.explode(less("s"))).join(b.withColumn("v", F.explode(less("t"))), "v").where(F.length("s") == F.length("t"))
+    p = p.select("corpus", "word", "entry", (F.length("s") - (F.col("s") != F.col("t")).cast("int")).alias("lcs"))
+    best = p.groupBy("corpus", "word").agg(F.max(F.struct("lcs", "entry")).alias("m"))
+    return best.select("corpus", "word", "m.lcs", "m.entry")
 
 
 @analysis(oracle=f"""with {sql.COUNTS}, t as (select corpus, n, length(word) as k, word[:length(word) // 3] as head, word[length(word) - length(word) // 3 + 1:] as tail from counts)

@@ -40,3 +40,21 @@ def entropy_of(source: str, by: str, value: str, out: str) -> str:
         f"select {by}, -sum(p * log2(p)) as {out} from (select {by}, {value}, count(*) * 1.0 / sum(count(*)) over "
         f"(partition by {by}) as p from {source} group by {by}, {value}) group by {by}"
     )
+
+
+#: DuckDB's levenshtein counts bytes: letters beyond ASCII are first written as ASCII characters that no word has.
+ALPHABET = """
+far as (select c, row_number() over (order by c) as i from (select distinct unnest(string_split(word, '')) as c from counts) where unicode(c) > 127),
+alphabet as (select coalesce(string_agg(c, '' order by i), '') as f, coalesce(string_agg(chr((i + 32)::int), '' order by i), '') as g from far where i <= 64)"""
+
+
+def distance(a: str, b: str) -> str:
+    """Edit distance in characters; `alphabet` must be among the tables."""
+    return f"levenshtein(translate({a}, f, g), translate({b}, f, g))"
+
+
+def replaced(value: str, pairs) -> str:
+    """A list of replacements, one after the other."""
+    for x, y in pairs:
+        value = f"replace({value}, '{x}', '{y}')"
+    return value
