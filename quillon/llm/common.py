@@ -52,7 +52,7 @@ class Scratch:
         was = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -37,20 +37,29 @@ class Coder:
 
 
 class Leaf:
-    """Consecutive pre-tokens: their text, lengths and tokens."""
+    """Consecutive pre-tokens: their text, lengths and tokens. Stored ones stay arrays until an edit touches them."""
 
     __slots__ = ("counts", "lens", "text")
 
-    def __init__(self, text: str, lens: list[int], counts: list[int]):
+    def __init__(self, text: str, lens, counts):
         self.text, self.lens, self.counts = text, lens, counts
 
+    @property
+    def tokens(self) -> int:
+        return int(self.counts.sum()) if isinstance(self.counts, np.ndarray) else sum(self.counts)
+
+    def lists(self) -> tuple[list[int], list[int]]:
+        if isinstance(self.lens, np.ndarray):
+            self.lens, self.counts = self.lens.tolist(), self.counts.tolist()
+        return self.lens, self.counts
+
 
-def chunks(text: str, lens: list[int], counts: list[int], size: int) -> list[Leaf]:
+def chunks(text: str, lens, counts, size: int) -> list[Leaf]:
+    ends = np.cumsum(np.asarray(lens, dtype=np.int64))[size - 1 :: size].tolist()
     out, at = [], 0
-    for i in range(0, len(lens), size):
-        own = lens[i : i + size]
-        end = at + sum(own)
-        out.append(Leaf(text[at:end], own, counts[i : i + size]))
+    for k, i in enumerate(range(0, len(lens), size)):
+        end = ends[k] if k < len(ends) else len(text)
+        out.append(Leaf(text[at:end], lens[i : i + size], counts[i : i + size]))
         at = end
     return out
 
@@ -64,7 +73,7 @@ class TokenTree:
     touched leaves to the root. encoded_chars adds up the characters that edits had encoded.
     """
 
-    def __init__(self, text: str, lens: list[int], counts: list[int], coder: Coder):
+    def __init__(self, text: str, lens, counts, coder: Coder):
         self.coder, self.encoded_chars = coder, 0
         self._build(chunks(text, lens, counts, LEAF))
 
@@ -80,7 +89,7 @@ class TokenTree:
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, leaf in enumerate(self.leaves, self.size):
-            self.chars[i], self.tokens[i] = len(leaf.text), sum(leaf.counts)
+            self.chars[i], self.tokens[i] = len(leaf.text), leaf.tokens
         for i in range(self.size - 1, 0, -1):
             self._add(i)
 
@@ -91,7 +100,7 @@ class TokenTree:
     def _put(self, k: int, leaf: Leaf) -> None:
         self.leaves[k] = leaf
         i = self.size + k
-        self.chars[i], self.tokens[i] = len(leaf.text), sum(leaf.counts)
+        self.chars[i], self.tokens[i] = len(leaf.text), leaf.tokens
         i //= 2
         while i:
             self._add(i)
@@ -121,10 +130,10 @@ class TokenTree:
         return "".join(x.text for x in self.leaves)
 
     def lens(self) -> list[int]:
-        return [n for x in self.leaves for n in x.lens]
+        return [n for x in self.leaves for n in x.lists()[0]]
 
     def counts(self) -> list[int]:
-        return [n for x in self.leaves for n in x.counts]
+        return [n for x in self.leaves for n in x.lists()[1]]
 
     def edit(self, start: int, length: int, new: str) -> None:
         """Replace `length` characters from `start`; both are cut to the text."""
@@ -135,7 +144,7 @@ class TokenTree:
         ahead, moved = self.coder.ahead, len(new) - (end - start)
         first, before = self._find(max(0, start - ahead))
         kept, at = 0, before  # pre-tokens that end `ahead` before the edit or earlier
-        for n in self.leaves[first].lens:
+        for n in self.leaves[first].lists()[0]:
             if at + n + ahead > start:
                 break
             at += n
@@ -145,7 +154,7 @@ class TokenTree:
             while upto < wanted and last + 1 < len(self.leaves):
                 last += 1
                 upto += len(self.leaves[last].text)
-            told = [n for x in self.leaves[first : last + 1] for n in x.lens][kept:]
+            told = [n for x in self.leaves[first : last + 1] for n in x.lists()[0]][kept:]
             old = "".join(x.text for x in self.leaves[first : last + 1])[at - before :]
             cuts, spot = {}, 0
             for k, n in enumerate(told):
@@ -175,8 +184,8 @@ class TokenTree:
             behind -= len(self.leaves[upto].lens)
             upto -= 1
         touched = self.leaves[first : upto + 1]
-        counts = [n for x in touched for n in x.counts]
-        lens = [n for x in touched for n in x.lens]
+        counts = [n for x in touched for n in x.lists()[1]]
+        lens = [n for x in touched for n in x.lists()[0]]
         text = "".join(x.text for x in touched)
         gone = at - before + sum(told[:met])
         lens = lens[:kept] + list(map(len, fresh)) + lens[kept + met :]
@@ -243,8 +252,10 @@ def apply(stored: DataFrame, vocabulary: str | None = None, updated: bool = Fals
         coder = Coder(vocabulary)
         for batch in batches:
             rows, made = [], []
-            for doc, text, lens, counts, todo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree, n, chars = TokenTree(text, lens, counts, coder), 0, len(text)
+            ends, lens, counts = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy()
+            other = batch.column(3).offsets.to_numpy()  # the same places, unless the batch was sliced
+            for k, (doc, text, todo) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True)):
+                tree, n, chars = TokenTree(text, lens[ends[k] : ends[k + 1]], counts[other[k] : other[k + 1]], coder), 0, len(text)
                 before = tree.n_tokens
                 for e in todo or ():
                     if e is not None and e["start"] is not None:
