@@ -213,7 +213,7 @@ def ordered_lines(lines: DataFrame, means: DataFrame, strengths: DataFrame) -> D
 
 
 LAMBDA = f"""with {sql.TOKENS}, u as (select corpus, word[1] as cls, (pos - 1.5) / (line_len - 4) as u from tokens where pos >= 2 and pos < line_len - 2), mu as (select corpus, cls, avg(u) as mu from u group by all),
-    g as (select corpus, lam, doc_id, line_no, line_len, row_number() over (partition by doc_id, line_no, lam order by {UNIT.format(parts="'grid|' || doc_id || '|' || line_no || '|' || pos")} + lam * coalesce(mu, 0.5), pos) - 1 as pos, word[1] as cls
+    g as (select tokens.corpus, lam, doc_id, line_no, line_len, row_number() over (partition by doc_id, line_no, lam order by {UNIT.format(parts="'grid|' || doc_id || '|' || line_no || '|' || pos")} + lam * coalesce(mu.mu, 0.5), pos) - 1 as pos, word[1] as cls
       from tokens left join mu on mu.corpus = tokens.corpus and mu.cls = word[1], (select unnest(range(0, 17)) * 0.25::double as lam)),
     v as (select corpus, lam, cls, (pos - 1.5) / (line_len - 4) as u from g where pos >= 2 and pos < line_len - 2 union all select corpus, -1.0, cls, u from u),
     c as (select corpus, lam, cls, avg(u) as m, count(*) as n from v group by all having count(*) >= 20), a as (select corpus, lam, sum(m * n) / sum(n) as g from c group by all),

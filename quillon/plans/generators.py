@@ -27,11 +27,6 @@ def types(spark, sf_dir) -> DataFrame:
     return word_counts(spark, sf_dir).select("corpus", "word", "n")
 
 
-def english(spark, sf_dir) -> DataFrame:
-    """(word, n) of the English corpus, of words in plain letters, for searches over one alphabet."""
-    return types(spark, sf_dir).where("corpus = 'en' and word rlike '^[a-z]+$'").select("word", "n")
-
-
 def counted(words: DataFrame) -> DataFrame:
     return words.groupBy("corpus", "word").agg(F.count("*").alias("types"), F.sum("n").alias("n"))
 
