@@ -120,7 +120,7 @@ def shuffled_bigram_transitions(spark, sf_dir, reps=3):
     return shuffled_bigrams(spark, sf_dir, reps)
 
 
-@analysis(reps=3)
+@analysis(depends=("spectral_split",), reps=3)
 def spectral_nulls(spark, sf_dir, reps=3):
     """Gap and alternation of the spectral split, real and under both nulls of the transitions; a row a corpus and null."""
     joint = letter_profiles(spark, sf_dir)
@@ -226,7 +226,7 @@ LAMBDA = f"""with {sql.TOKENS}, u as (select corpus, word[1] as cls, (pos - 1.5)
     from best join d x on x.corpus = best.corpus and x.lam = -1 join d y on y.corpus = best.corpus and y.lam = best.lam join d z on z.corpus = best.corpus and z.lam = 0"""
 
 
-@analysis(oracle=LAMBDA)
+@analysis(depends=("rank_statistic_t",), oracle=LAMBDA)
 def lambda_grid(spark, sf_dir):
     """The strength of a line discipline, fitted on the interior rank statistic alone and then frozen: what it does to the
     line's edge, which it wasn't fitted on, beside the real lines and the ablation without any."""
@@ -303,7 +303,7 @@ def spearman_top_union(spark, sf_dir, top=50):
 SIX = ("h1_char", "h2_ratio", "mean_wlen", "pos_predict", "ttr_5000", "zipf_alpha")
 
 
-@analysis(oracle=FP + ", l as (select corpus, unnest([" + ", ".join(f"'{f}'" for f in SIX) + "]) as feature, unnest([" + ", ".join(SIX) + """]) as v from fp), s as (select feature, avg(v) as mu, stddev_pop(v) as sd from l group by all),
+@analysis(depends=("corpus_fingerprint",), oracle=FP + ", l as (select corpus, unnest([" + ", ".join(f"'{f}'" for f in SIX) + "]) as feature, unnest([" + ", ".join(SIX) + """]) as v from fp), s as (select feature, avg(v) as mu, stddev_pop(v) as sd from l group by all),
     z as (select corpus, feature, (v - mu) / sd as z from l join s using (feature) where sd > 1e-12)
     select a.corpus as first, b.corpus as second, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 4) as distance from z a join z b on a.feature = b.feature and a.corpus < b.corpus group by all""")
 def six_feature_distance(spark, sf_dir):
@@ -438,7 +438,7 @@ def events_by_decan(spark, sf_dir):
     return j.groupBy("sign", "third", "event_type").agg(F.count("*").alias("n"))
 
 
-@analysis(reps=50, oracle=f"""with u as (select lang, doc_id, n_chars, rep, {UNIT.format(parts="'boot|' || rep || '|' || doc_id")} as u from documents, (select unnest(range(0, 50)) as rep)),
+@analysis(depends=("bootstrap_ci",), reps=50, oracle=f"""with u as (select lang, doc_id, n_chars, rep, {UNIT.format(parts="'boot|' || rep || '|' || doc_id")} as u from documents, (select unnest(range(0, 50)) as rep)),
     w as (select *, {WEIGHT} as w from u), m as (select lang, rep, sum(w * n_chars) / sum(w) as m from w group by all),
     c as (select lang, round(quantile_cont(m, 0.025), 3) as low, round(quantile_cont(m, 0.975), 3) as high from m group by lang)
     select a.lang as first, b.lang as second, a.low <= b.high and b.low <= a.high as overlap from c a join c b on a.lang < b.lang""")

@@ -99,7 +99,7 @@ def context_position_information(spark, sf_dir):
     return j.groupBy("corpus").agg(F.count("*").alias("types"), F.round(F.sum(F.col("t") * F.col("mi")) / F.sum("t"), 6).alias("mi"))
 
 
-@analysis(reps=20, oracle="""with d as (select doc_id, lang, n_chars as v, quality as q from documents join labels using (doc_id)),
+@analysis(depends=("best_threshold",), reps=20, oracle="""with d as (select doc_id, lang, n_chars as v, quality as q from documents join labels using (doc_id)),
     r as (select *, row_number() over (partition by lang, rep order by md5('cut@|' || lang || '|' || rep || '|' || doc_id), doc_id) as slot, row_number() over (partition by lang, rep order by md5('cut|' || lang || '|' || rep || '|' || doc_id), doc_id) as k from d, (select unnest(range(0, 20)) as rep)),
     s as (select a.lang, a.rep, a.v, b.q from r a join r b on a.lang = b.lang and a.rep = b.rep and a.slot = b.k union all select lang, -1, v, q from d),
     c as (select lang, rep, v, sum(q) as ones, count(*) as n from s group by all),
@@ -245,7 +245,7 @@ LADDER = f"""with {sql.TOKENS}, n as (select corpus, count(*) as lines from line
       case when lines < 50 then 'gate_failed' when t <= null_max then 'reducible' when edge <= 1.5 * noise then 'insufficient' else 'bind' end as verdict from n join tt using (corpus) join h using (corpus)"""
 
 
-@analysis(reps=10, oracle=LADDER)
+@analysis(depends=("rank_permutation_test",), reps=10, oracle=LADDER)
 def discipline_verdicts(spark, sf_dir, reps=10):
     """A ladder of verdicts on each corpus: gate_failed, insufficient, reducible or bind.
 

@@ -399,7 +399,7 @@ def z_distance(fp: DataFrame, target: str) -> DataFrame:
 UNPIVOT = FP + ", long as (select corpus, unnest([" + ", ".join(f"'{f}'" for f in COMPARED) + "]) as feature, unnest([" + ", ".join(COMPARED) + "]) as v from fp)"
 
 
-@analysis(target="benchmark", oracle=UNPIVOT + """, r as (select feature, avg(v) as mu, stddev_pop(v) as sd, count(*) as k from long where corpus <> 'benchmark' and v is not null group by all)
+@analysis(depends=("corpus_fingerprint",), target="benchmark", oracle=UNPIVOT + """, r as (select feature, avg(v) as mu, stddev_pop(v) as sd, count(*) as k from long where corpus <> 'benchmark' and v is not null group by all)
     select 'benchmark' as corpus, round(avg(abs((v - mu) / sd)), 4) as distance, count(*) as features from long join r using (feature) where corpus = 'benchmark' and v is not null and k >= 2 and sd >= 1e-12""")
 def fingerprint_zdistance(spark, sf_dir, target="benchmark"):
     z = z_distance(fingerprint(documents_and_benchmark(spark, sf_dir)), target)
@@ -420,7 +420,7 @@ PAIRWISE = """, s as (select feature, stddev_pop(v) as sd from long where v is n
     d as (select a.corpus as first, b.corpus as second, avg(abs(a.v - b.v) / sd) as distance from long a join long b on a.feature = b.feature and a.corpus < b.corpus join s on s.feature = a.feature where a.v is not null and b.v is not null and sd >= 1e-12 group by all)"""
 
 
-@analysis(oracle=UNPIVOT + PAIRWISE + " select first, second, round(distance, 4) as distance, row_number() over (order by round(distance, 4), first, second) as rank from d")
+@analysis(depends=("corpus_fingerprint",), oracle=UNPIVOT + PAIRWISE + " select first, second, round(distance, 4) as distance, row_number() over (order by round(distance, 4), first, second) as rank from d")
 def pairwise_z_ranking(spark, sf_dir):
     d = pairwise(fingerprint(documents_and_benchmark(spark, sf_dir))).select("first", "second", F.round("distance", 4).alias("distance"))
     w = Window.partitionBy(F.lit(0)).orderBy("distance", "first", "second")  # a row for each pair of corpora
@@ -431,7 +431,7 @@ HALF_LINES = FP_LINES.replace("select corpus, doc_id, line_no, words from doclin
     "select 'benchmark', item_id", "select 'benchmark/' || (item_id % 2), item_id")
 
 
-@analysis(oracle="with " + _fp_sql(HALF_LINES) + UNPIVOT[len(FP):] + PAIRWISE + " select split_part(first, '/', 1) as corpus, round(distance, 4) as distance from d where split_part(first, '/', 1) = split_part(second, '/', 1)")
+@analysis(depends=("corpus_fingerprint",), oracle="with " + _fp_sql(HALF_LINES) + UNPIVOT[len(FP):] + PAIRWISE + " select split_part(first, '/', 1) as corpus, round(distance, 4) as distance from d where split_part(first, '/', 1) = split_part(second, '/', 1)")
 def halves_yardstick(spark, sf_dir):
     """How far the halves of one corpus, even and odd documents, are apart: the yardstick for distances of corpora."""
     lines = documents_and_benchmark(spark, sf_dir)

@@ -70,11 +70,13 @@ def read_ivtff(spark: SparkSession, path: str, comma_break: bool = True, least:
     Comment lines name sections, which hold until the next one that does, and page headers carry the $L= tag; both are
     carried forward within a file. A file is one group of that window, as pages are; lines of any length stream.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"),
-        F.regexp_replace(F.col("value"), "^﻿", "").alias("line"),
-        F.monotonically_increasing_id().alias("at"),
-    )
+    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    return parse_ivtff(raw, comma_break, least, locus_types, generic)
+
+
+def parse_ivtff(raw: DataFrame, comma_break: bool = True, least: int = 1, locus_types: tuple[str, ...] | None = None, generic: bool = False) -> DataFrame:
+    """read_ivtff() of lines that are at hand: (file, at, value), ordered by `at` in a file."""
+    raw = raw.select("file", "at", F.regexp_replace(F.col("value"), "^\ufeff", "").alias("line"))
     low = F.lower("line")
     named = F.when(F.startswith(F.trim("line"), F.lit("#")),
         F.coalesce(
@@ -129,11 +131,38 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def split_by_hand(lines: DataFrame) -> dict[str, DataFrame]:
+    """Transliterated lines by the tag of their page: A, B, and the whole."""
+    return {"A": lines.where("currier = 'A'"), "B": lines.where("currier = 'B'"), "full": lines}
+
+
+def fetch_text(url: str, cache: str) -> str:
+    """The path of a text's copy in the cache folder, fetched once; file:// URLs work without a network."""
+    import hashlib
+    import os
+    import urllib.request
+
+    os.makedirs(cache, exist_ok=True)
+    path = os.path.join(cache, hashlib.sha256(url.encode()).hexdigest()[:24] + ".txt")
+    if not os.path.exists(path):
+        with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310 (the caller's own URL)
+            data = r.read()
+        with open(path + ".part", "wb") as f:
+            f.write(data)
+        os.replace(path + ".part", path)
+    return path
+
+
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Another analysis's JSON results."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_results(df: DataFrame, path: str) -> None:
+    """An analysis's rows as JSON, one object a line, nulls written out; read_results() reads them back."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_corpus(lines: DataFrame, path: str) -> DataFrame:
     """Write a corpus as text, a folder for each, and return its manifest: tokens, types, lines."""
     lines.select("corpus", F.array_join("words", " ").alias("value")).write.mode("overwrite").partitionBy("corpus").text(path)

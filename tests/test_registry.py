@@ -74,3 +74,46 @@ def test_catalogue_has_no_sql_without_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(REGISTRY.analyses) > 120
+
+
+def test_limits_results_and_what_is_kept(spark, registry, tmp_path):
+    import time
+
+    folder = str(tmp_path / "state")
+    registry.attach(folder)
+    registry.add(Analysis("slow", lambda s, d: s.range(8).repartition(8).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L) as x")))
+    registry.add(Analysis("after", lambda s, d: s.range(1), depends=("broken",)))
+    began = time.monotonic()
+    job = registry.run(spark, "", "slow", limit=1.5)
+    assert job["state"] == "timeout" and time.monotonic() - began < 15
+    registry.save_preset("base", "five", {"n": "5"})
+    job = registry.run(spark, "", "base", preset="five", results=f"file://{tmp_path}/results")
+    assert job["rows"] == 5 and spark.read.schema("id long").json(f"file://{tmp_path}/results/base").count() == 5
+    assert [j["state"] for j in registry.run_all(spark, "", ["after"])] == ["failed", "skipped"]
+    registry.quarantine("base", "no reason")
+    registry.ledger(str(tmp_path / "ledger.txt"), "night")
+    registry.record(str(tmp_path / "golden.json"))
+    again = Registry()
+    again.analyses = registry.analyses
+    again.attach(folder)
+    assert again.preset("base", "five") == {"n": 5} and again.quarantined == {"base": "no reason"} and again.jobs == registry.jobs
+    assert again.compare(again.jobs[1], Registry.recorded(str(tmp_path / "golden.json"))) == "identical"
+    assert "timeout: 1" in (tmp_path / "ledger.txt").read_text()
+    again.quarantined.clear()
+    done = len(again.jobs)
+    again.run(spark, "", "base")
+    assert [j["id"] for j in again.run_all(spark, "", ["base"], resume=True)] == [done]
+
+
+def test_a_report_is_captured(tmp_path, capsys):
+    from quillon.registry import captured
+
+    with captured(str(tmp_path / "report.txt")):
+        print("é 1")
+    assert (tmp_path / "report.txt").read_text(encoding="utf-8") == "é 1\n" == capsys.readouterr().out
+
+
+def test_every_dependency_is_registered():
+    from quillon import catalog  # noqa: F401
+
+    assert REGISTRY.order(REGISTRY.analyses) and sum(bool(a.depends) for a in REGISTRY.analyses.values()) >= 12
