@@ -39,7 +39,7 @@ def partial_corr_by_class(spark, sf_dir):
 
 @analysis(oracle="""with d as (select lang, n_chars::double as x, toxic = 1 as g from documents join labels using (doc_id)),
     s as (select lang, avg(x) filter (g) as ma, avg(x) filter (not g) as mb, var_samp(x) filter (g) as va, var_samp(x) filter (not g) as vb, count(*) filter (g) as na, count(*) filter (not g) as nb from d group by lang)
-    select lang, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 5) as d from s""")
+    select lang, round(coalesce((ma - mb) / sqrt(nullif(((na - 1) * va + (nb - 1) * vb) / nullif(na + nb - 2, 0), 0)), 0), 5) as d from s""")
 def cohens_d(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents").join(C.table(spark, sf_dir, "labels"), "doc_id")
     return d.groupBy("lang").agg(F.round(stats.cohens_d("n_chars", F.col("toxic") == 1), 5).alias("d"))
