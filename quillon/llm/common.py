@@ -34,12 +34,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Tables written once in the shared folder and read again, so that a lost executor costs only its own tasks.
 
-    A result may read them until the driver ends, which is when what is left of them is deleted.
+    Operators delete what their results don't read with keep(); the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
         atexit.register(self._end)
 
     def _end(self) -> None:
@@ -49,6 +50,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read again; the shuffle files of the writing are deleted as soon as it is done."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         was = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
@@ -62,6 +64,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names -= {name} if name else self.names
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which a result still reads."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def fresh(df: DataFrame, name: str) -> str:

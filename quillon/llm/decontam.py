@@ -191,6 +191,7 @@ def _scan_blocks(docs: DataFrame, told: Iterable[Block], scratch: Scratch) -> Da
         F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"), F.flatten(F.collect_list("items")).alias("items")
     )
     each = scratch.table(each, "hits")
+    scratch.keep("hits")
 
     def told_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

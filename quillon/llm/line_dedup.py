@@ -439,6 +439,7 @@ def repeats(docs: DataFrame, edits: int = 2) -> DataFrame:
         later = later.unionByName(near_first.select(F.col("line").alias("h1")))
     later = scratch.table(later.distinct(), "later").withColumn("near", F.lit(True))
     firsts = scratch.table(distinct.join(later, "h1", "left"), "firsts")
+    scratch.keep("rows", "firsts")
     every = lookup(told.select("doc_id", "version", "line_no", "h1", "h2"), firsts, ["h1", "h2"], "copies")
     own_place = [F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("doc_id", "version", "line_no")]
     near = F.coalesce("near", F.lit(False))

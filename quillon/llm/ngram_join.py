@@ -425,6 +425,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     found = full.select("h1", "h2", "n", "node", "copies").join(comps, "node", "left")
     found = scratch.table(found.select("h1", "h2", "n", "copies", F.coalesce("root", "node").alias("component")), "found")
+    scratch.keep("rows", "found")
     told = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     linked = lookup(rows.where(told), found, ["h1", "h2", "n"], "copies").select("doc_id", "n", "component")
     alone = rows.where(~told).select("doc_id", "n", F.col("doc_id").alias("component"))

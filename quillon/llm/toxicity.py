@@ -41,6 +41,8 @@ class Model:
     weights: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
+    #: Fitted without labels of both kinds: every document has the bias's odds, however many sentences it has.
+    blind: bool = False
     known: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
@@ -62,6 +64,8 @@ class Model:
 
     def log_odds(self, logits) -> float:
         """Of the noisy-or: 1 - product of (1 - p) is the chance that any sentence is toxic. No sentence: the bias's own."""
+        if self.blind:
+            return self.bias
         z = np.asarray(logits if len(logits) else [self.bias], dtype=float)
         none = -np.logaddexp(0.0, z).sum()  # log of the chance that none is
         return float(np.log(max(-np.expm1(none), 1e-300)) - none)
@@ -108,8 +112,8 @@ def fit(docs: list[tuple[list[np.ndarray], int]], seed: int = 7) -> Model:
     """
     toxic = sum(y for _, y in docs)
     if not docs or not toxic or toxic == len(docs):
-        rate = (toxic + 0.5) / (len(docs) + 1)
-        return Model(float(np.log(rate / (1 - rate))), np.zeros(DIMENSIONS))
+        rate = (toxic + 0.5) / (len(docs) + 2)
+        return Model(float(np.log(rate / (1 - rate))), np.zeros(DIMENSIONS), blind=True)
     mean = np.mean([max(1, len(s)) for s, _ in docs])
     rate = toxic / len(docs)
     bias = float(np.log(rate / mean / (1 - rate / mean)))
@@ -212,7 +216,12 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the sample, calibrated by one of four fifths of it on the rest."""
+    """A model of the sample, calibrated by one of four fifths of it on the rest.
+
+    Labels that are neither 0 nor 1, of a null id, of an unknown document or held out teach nothing; of a repeated label
+    the toxic one counts. Without labels of both kinds all documents score alike: the labels' share, and a quarter
+    without any.
+    """
     rows = sample(docs, labels)
     part = fit([r for i, r in enumerate(rows) if i % 5])
     model = fit(rows)
@@ -250,7 +259,8 @@ def score(docs: DataFrame, model: Model, sentences: bool = False) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
+    """The documents that score below the threshold, with all their columns; null and empty texts score as in score(),
+    repeated rows stay or go together, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

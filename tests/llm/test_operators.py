@@ -567,6 +567,8 @@ def test_toxicity(spark, nothing):
     assert kept.schema == docs.schema and kept.count() == sum(r.score < 0.3 for r in got.values())
     assert toxicity.score(nothing, model).count() == 0
     blind = toxicity.train(docs, labels(spark))
+    assert toxicity.clean(docs, blind).count() == docs.count() and all(r.score == pytest.approx(0.25) for r in toxicity.score(docs, blind).collect())
+    assert toxicity.clean(docs, toxicity.train(docs, marks.where("toxic = 0"))).count() == docs.count()
     assert all(0 <= r.score <= 1 for r in toxicity.score(table(spark, EDGES), blind).collect())
     assert all(0 <= r.score <= 1 for r in toxicity.score(table(spark, EDGES), model).collect())
 
@@ -626,7 +628,7 @@ def test_the_fit_is_that_of_a_plain_loop():
 
     assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
     blind = toxicity.fit([(s, 0) for s, _ in docs])
-    assert not blind.weights.any() and toxicity.calibration(blind, [(s, 0) for s, _ in docs]) == (1.0, 0.0)
+    assert blind.blind and not blind.weights.any() and toxicity.calibration(blind, [(s, 0) for s, _ in docs]) == (1.0, 0.0)
 
 
 def test_the_feature_bound_follows_the_hash_not_the_files(spark):
