@@ -71,26 +71,32 @@ def cross_perplexity(spark, sf_dir, alpha=1.0):
 SPLITS = 10
 
 
-def features_by_bin(lines: DataFrame, least: int = 5) -> DataFrame:
+def features_by_bin(lines: DataFrame, least: int = 5, keep: str = "doc_id") -> DataFrame:
     t = C.tokens(lines).where(F.col("line_len") >= least)
     return t.select(
-        "corpus", "doc_id", T.position_bin(F.col("pos"), F.col("line_len")).alias("bin"), F.explode(T.word_features(F.col("word"))).alias("f")
-    ).select("corpus", "doc_id", "bin", "f.feature", "f.value")
+        "corpus", keep, T.position_bin(F.col("pos"), F.col("line_len")).alias("bin"), F.explode(T.word_features(F.col("word"))).alias("f")
+    ).select("corpus", keep, "bin", "f.feature", "f.value")
+
+
+def split_masks(lines: DataFrame, seed: str, splits: int) -> DataFrame:
+    """lines with `mask`, whose bit k says that the k-th split holds the document out: a fifth of them, by a hash of (k, doc_id)."""
+    bits = [F.when(nulls.uniform(nulls.draw(seed, F.lit(k), "doc_id")) < 0.2, F.lit(1 << k)).otherwise(0) for k in range(splits)]
+    return lines.withColumn("mask", sum(bits[1:], bits[0]))
+
+
+def split_cells(rows: DataFrame, by: list[str], splits: int) -> DataFrame:
+    """(by, split, train, test): rows with a mask counted for all splits in one pass; only the cells are taken apart."""
+    held = [F.sum(F.col("mask").bitwiseAND(F.lit(1 << k)) / (1 << k)).cast("long") for k in range(splits)]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*held).alias("held"))
+    cells = sums.select(*by, "n", F.posexplode("held").alias("split", "test"))
+    return cells.select(*by, "split", (F.col("n") - F.col("test")).alias("train"), "test")
 
 
 def positional_gains(lines: DataFrame, splits: int = SPLITS, alpha: float = ALPHA) -> DataFrame:
-    """(corpus, split, gain): bits per interior word that a model by place in the line gains on held-out documents.
-
-    The counts of each document's features by place are made once; a split only says on which side a document's counts
-    fall. A fifth of the documents is held out by a hash of (split, doc_id).
-    """
-    counts = features_by_bin(lines).groupBy("corpus", "doc_id", "bin", "feature", "value").agg(F.count("*").alias("n"))
-    r = nulls.replicates(counts, splits, "split")
-    held = nulls.split(r, "gain", ["split", "doc_id"], 0.2)
+    """(corpus, split, gain): bits per interior word that a model by place in the line gains on held-out documents."""
+    told = features_by_bin(split_masks(lines, "gain", splits), keep="mask")
     keys = ["corpus", "split", "feature"]
-    cells = r.groupBy(*keys, "bin", "value").agg(
-        F.sum(F.when(held, 0).otherwise(F.col("n"))).alias("train"), F.sum(F.when(held, F.col("n")).otherwise(0)).alias("test")
-    )
+    cells = split_cells(told, ["corpus", "feature", "bin", "value"], splits)
     w, wb, wv = (Window.partitionBy(*keys, *x) for x in ((), ("bin",), ("value",)))
     s = cells.select(
         *keys, "bin", "train", "test", F.sum("train").over(wb).alias("in_bin"), F.sum("train").over(wv).alias("of_value"),
@@ -126,17 +132,17 @@ def positional_gain(spark, sf_dir, splits=SPLITS):
     return g.groupBy("corpus").agg(F.round(F.percentile("gain", 0.5), 5).alias("gain"), F.round(F.min("gain"), 5).alias("low"), F.round(F.max("gain"), 5).alias("high"))
 
 
-def class_events(lines: DataFrame, k: int = 12, least: int = 5) -> DataFrame:
-    """(corpus, doc_id, bin, prev, cls): classes by first letter, a corpus's k most frequent and "#"; "^" starts a line."""
+def class_events(lines: DataFrame, k: int = 12, least: int = 5, keep: str = "doc_id") -> DataFrame:
+    """(corpus, doc_id or what else is kept, bin, prev, cls): classes by first letter, a corpus's k most frequent and "#"; "^" starts a line."""
     kept = lines.where(F.size("words") >= least)
     counts = stats.freq(C.tokens(kept).withColumn("cls", F.substring("word", 1, 1)), ["corpus"], "cls")
     table = recode(counts, k).groupBy("corpus").agg(F.map_from_entries(F.collect_list(F.struct("cls", "to"))).alias("map"))
     coded = kept.join(table, "corpus").select(  # a map of an alphabet for each corpus
-        "corpus", "doc_id", F.transform("words", lambda w: F.element_at("map", F.substring(w, 1, 1))).alias("words")
+        "corpus", keep, F.transform("words", lambda w: F.element_at("map", F.substring(w, 1, 1))).alias("words")
     )
     chain = F.arrays_zip(F.concat(F.array(F.lit("^")), F.slice("words", F.lit(1), F.size("words") - 1)).alias("prev"), F.col("words").alias("cls"))
-    e = coded.select("corpus", "doc_id", F.size("words").alias("line_len"), F.posexplode(chain).alias("pos", "x"))
-    return e.select("corpus", "doc_id", T.position_bin(F.col("pos"), F.col("line_len")).alias("bin"), "x.prev", "x.cls")
+    e = coded.select("corpus", keep, F.size("words").alias("line_len"), F.posexplode(chain).alias("pos", "x"))
+    return e.select("corpus", keep, T.position_bin(F.col("pos"), F.col("line_len")).alias("bin"), "x.prev", "x.cls")
 
 
 RPOS = f"""with {sql.TOKENS}, t5 as (select *, word[1] as c0 from tokens where line_len >= 5),
@@ -157,13 +163,9 @@ RPOS = f"""with {sql.TOKENS}, t5 as (select *, word[1] as c0 from tokens where l
 @analysis(splits=SPLITS, k=12, oracle=RPOS)
 def r_pos_r_bi(spark, sf_dir, splits=SPLITS, k=12):
     """Shares of the held-out log loss of word classes that place in the line, or the class before, take away."""
-    counts = class_events(C.lines(spark, sf_dir), k).groupBy("corpus", "doc_id", "bin", "prev", "cls").agg(F.count("*").alias("n"))
-    r = nulls.replicates(counts, splits, "split")
-    held = nulls.split(r, "class", ["split", "doc_id"], 0.2)
+    events = class_events(split_masks(C.lines(spark, sf_dir), "class", splits), k, keep="mask")
     keys = ["corpus", "split"]
-    cells = r.groupBy(*keys, "bin", "prev", "cls").agg(
-        F.sum(F.when(held, 0).otherwise(F.col("n"))).alias("train"), F.sum(F.when(held, F.col("n")).otherwise(0)).alias("test")
-    )
+    cells = split_cells(events, ["corpus", "bin", "prev", "cls"], splits)
 
     def seen(*cols):  # tables of classes and places, a few thousand rows a split
         return F.sum("train").over(Window.partitionBy(*keys, *cols))
