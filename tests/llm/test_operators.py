@@ -631,6 +631,19 @@ def test_the_fit_is_that_of_a_plain_loop():
     assert blind.blind and not blind.weights.any() and toxicity.calibration(blind, [(s, 0) for s, _ in docs]) == (1.0, 0.0)
 
 
+def test_the_offset_is_raised_only_where_it_pays():
+    import math
+
+    def docs(of):  # a sentence with one feature of the wanted logit
+        return [([np.array([k])], y) for k, (_, y) in enumerate(of)]
+
+    for of, expected in (([(-1.2, 1)] * 9 + [(1.0, 1)] + [(-5.0, 0)] * 90, 0.4), ([(1.0, 1)] * 9 + [(-1.2, 0)] * 90, 0.0), ([(-1.2, 1)] * 9 + [(-1.1, 0)] * 90, 0.0)):
+        w = np.zeros(len(of))
+        w[:] = [z for z, _ in of]
+        got = toxicity.raised(toxicity.Model(0.0, w), docs(of))
+        assert got == expected and (got == 0 or -1.2 + got >= math.log(0.3 / 0.7))
+
+
 def test_the_feature_bound_follows_the_hash_not_the_files(spark):
     rows = [(i, f"aa bb u{i}") for i in range(600)]
     docs = table(spark, rows).repartitionByRange(6, "doc_id")
