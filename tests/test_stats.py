@@ -114,11 +114,12 @@ def test_linkage():
 
 
 def test_merges_are_greedy_and_do_not_overlap(spark):
-    from quillon.plans.search import learn_merges, merge_in
+    from quillon.plans.search import learn_merges, marked, merged, unmarked
 
-    df = spark.createDataFrame([(["a", "a", "a", "b"], 3), (["a", "b"], 2)], "units array<string>, n long")
-    assert learn_merges(df, 2)[:1] == [("a", "a", 6)]
-    got = [r.u for r in df.select(merge_in(F.col("units"), "a", "a").alias("u")).collect()]
+    df = spark.createDataFrame([("x", ["a", "a", "a", "b"], 3), ("x", ["a", "b"], 2)], "corpus string, units array<string>, n long")
+    assert learn_merges(df, 2)[:1] == [("x", 0, "a", "a", 6)]
+    told = df.select("corpus", marked(F.col("units")).alias("told")).select(merged("told", [("x", "a", "a")]).alias("told"))
+    got = [r.u for r in told.select(unmarked("told").alias("u")).collect()]
     assert got == [["aa", "a", "b"], ["a", "b"]] and sequential.merge_pair(["a", "a", "a", "b"], "a", "a") == got[0]
 
 
