@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +35,6 @@ PROSE = re.compile(r"(?:[^\W\d_]?(?:(?![A-Z])[^\W\d_])*|[A-Z]+|\d+)(?:[-'’./_]
 HARD = re.compile("[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{9}")
 #: Values shorter than this are never reported.
 SHORT = 8
-#: Blocks of any size may repeat in values of up to LONG characters. Beyond, blocks of up to BLOCK do: a longer one costs
-#: more than ENOUGH by itself, so that it can't make a value cheap.
-LONG, BLOCK = 65_536, 64
 #: log10 of guesses from which a value counts as a secret.
 ENOUGH = 8.0
 
@@ -75,6 +71,59 @@ def alphabet(value: str) -> int:
     return max(10, n + 33 * any(not c.isalnum() for c in value))
 
 
+def runs(value: str) -> list[tuple[int, int, int]]:
+    """Start, end and least period of each maximal stretch that holds its period twice or more, in values of any length.
+
+    Such a stretch is found at a place whose longest Lyndon word, under the order of characters or its reverse, is as long as
+    its period; suffixes are compared by hashes of their beginnings, so the work grows with the length and its logarithm.
+    What the hashes find is then compared itself.
+    """
+    n, sums, powers, prime, base = len(value), [], [], (1 << 61) - 1, 1_000_003 * 998_244_353
+
+    def same(i: int, j: int, size: int) -> bool:
+        if size <= 256:
+            return value[i : i + size] == value[j : j + size]
+        if not sums:
+            sums.append(0), powers.append(1)
+            for c in value:
+                sums.append((sums[-1] * base + ord(c) + 1) % prime), powers.append(powers[-1] * base % prime)
+        return (sums[i + size] - sums[j + size] - (sums[i] - sums[j]) * powers[size]) % prime == 0
+
+    def alike(i: int, j: int, most: int, step: int) -> int:
+        """How many characters, `most` at most, from i and j on, or back from those before them, are the same."""
+        k, size, grows = 0, 1, True
+        while size:
+            if k + size <= most and (same(i + k, j + k, size) if step > 0 else same(i - k - size, j - k - size, size)):
+                k, size = k + size, size * 2 if grows else size // 2
+            else:
+                grows, size = False, size // 2
+        return k
+
+    found = set()
+    for reverse in (False, True):
+        after = [0] * n  # where the next smaller suffix starts
+        ahead: dict[int, tuple[int, int]] = {}  # by distance: the last place compared, and how much was alike there
+        back: dict[int, tuple[int, int]] = {}
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < n:
+                at, known = ahead.get(j - i, (n - j + i, 0))
+                k = alike(i, j, at - i, 1)
+                k += known if k == at - i else 0
+                ahead[j - i] = i, k
+                if k == n - j or (value[i + k] < value[j + k]) == reverse:
+                    break
+                j = after[j]
+            after[i] = j
+            k = ahead[j - i][1] if j < n else 0
+            at, known = back.get(j - i, (n, -1))
+            b = known - (at - i) if at - i <= known else alike(i, j, i, -1)
+            back[j - i] = i, b
+            if k + b >= j - i:
+                found.add((i - b, j + k, j - i))
+    return sorted((a, b, p) for a, b, p in found if value[a : b - p] == value[a + p : b])
+
+
 def pieces(value: str) -> list[tuple[int, int, float, str]]:
     """Spans of the value that a guesser knows how to make: start, end, log10 of the guesses, kind."""
     low, n, out = value.lower(), len(value), []
@@ -97,16 +146,11 @@ def pieces(value: str) -> list[tuple[int, int, float, str]]:
         if j - i >= 3:
             out.append((i, j, 1.5 + math.log10(j - i), "repeat"))
         i = j
-    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    for size in range(2, (n // 2 if n <= LONG else BLOCK) + 1):  # a repeated block costs the block and the count
-        same = points[size:] == points[:-size]
-        if np.count_nonzero(same) < size:
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-        for i, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if end - i >= size:
-                times = (end - i) // size + 1
-                out.append((i, i + times * size, size * math.log10(alphabet(value[i : i + size])) + math.log10(times), "repeat"))
+    for i, end, period in runs(value):  # a repeated block costs the block and the count; blocks of several periods repeat too
+        each = math.log10(alphabet(value[i : i + period]))
+        for size in range(period * (1 + (period == 1)), (end - i) // 2 + 1, period):
+            times = (end - i) // size
+            out.append((i, i + times * size, size * each + math.log10(times), "repeat"))
     i = 0
     while i < n - 1:  # a walk over neighbouring keys
         j = i + 1

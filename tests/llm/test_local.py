@@ -183,6 +183,29 @@ def test_guess_cost():
     assert cost("a" * 119 + "wednesday333") < 9 < cost("a" * 119 + "wednkzQ9!xe33")
 
 
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(st.tuples(st.text(alphabet=st.sampled_from("ab\U0001f600"), min_size=1, max_size=9), st.integers(1, 5)), min_size=1, max_size=7))
+def test_runs_hold_all_repeated_blocks(parts):
+    value = "".join(t * n for t, n in parts)
+    n, plain = len(value), set()
+    for size in range(2, n // 2 + 1):
+        for i in range(n - 2 * size + 1):
+            if value[i : i + size] == value[i + size : i + 2 * size] and (i == 0 or value[i - 1] != value[i - 1 + size]):
+                end = i
+                while end + size < n and value[end] == value[end + size]:
+                    end += 1
+                plain.add((i, i + (end + size - i) // size * size, size))
+    told = {(a, a + (b - a) // s * s, s) for a, b, p in secret_scan.runs(value) for s in range(p, (b - a) // 2 + 1, p) if s > 1}
+    assert told == plain
+
+
+def test_a_long_block_repeats_in_a_value_of_any_length():
+    r = random.Random(3)
+    block = "".join(r.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(101))
+    short, long = (secret_scan.guess_cost(block * n) for n in (600, 700))  # 60,600 and 70,700 characters
+    assert long - short == pytest.approx(__import__("math").log10(7 / 6), abs=1e-6)
+
+
 @settings(max_examples=200, deadline=None)
 @given(value=st.text(alphabet=st.sampled_from("password12qaz9X#"), min_size=1, max_size=9))
 def test_guess_cost_is_the_least_of_all_cuts(value):
