@@ -175,6 +175,14 @@ def test_a_long_conversation_with_long_texts(spark):
     assert chat.unescape(last.text[last.loss_start : last.loss_end]) == rows[-1][3]
 
 
+def test_conversations_of_any_length_have_one_form(spark):
+    for size in (1, 200_000):
+        rows = [(1, k, "assistant" if k % 2 else "user", "x" * size) for k in range(6)]
+        told = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("example").collect()
+        assert [len(chat.parse(r.text)) for r in told] == [2, 2, 2]
+        assert [r.context_chars for r in told] == [sum(len(x.text) for x in told[:k]) for k in range(3)]
+
+
 # ---- quality
 
 
