@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, map_texts
+from quillon.llm.common import Scratch, given_back, map_texts
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
@@ -77,6 +77,27 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(logits) + self.offset, -40, 40))))
 
 
+class Sentences(Sequence):
+    """A document's sentences, the features of each an array, kept as the bytes of all of them and their sizes."""
+
+    __slots__ = ("data", "sizes")
+
+    def __init__(self, data: bytes, sizes: Sequence[int]):
+        self.data, self.sizes = data, np.array(sizes, dtype="<i4")
+
+    def flat(self) -> np.ndarray:
+        return np.frombuffer(self.data, dtype="<i4")
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, at):
+        return (np.split(self.flat(), np.cumsum(self.sizes)[:-1]) if len(self.sizes) else [])[at]
+
+    def __iter__(self):
+        return iter(self[:])
+
+
 def calibration(model: Model, docs: list[tuple[list[np.ndarray], int]]) -> tuple[float, float]:
     """Slope and offset of a logistic function of the log odds of documents that the model wasn't fitted on.
 
@@ -139,16 +160,17 @@ def fit(docs: list[tuple[list[np.ndarray], int]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     flat = []
     for sentences, y in docs:
-        if sentences:
-            sizes = np.array([len(s) for s in sentences])
-            flat.append((np.concatenate(sentences), np.repeat(np.arange(len(sizes)), sizes), len(sizes), y))
+        if sentences and isinstance(sentences, Sentences):
+            flat.append((sentences.flat(), sentences.sizes, len(sentences), y))
+        elif sentences:
+            flat.append((np.concatenate(sentences), np.array([len(s) for s in sentences]), len(sentences), y))
     for _ in range(PASSES):
         order = rng.permutation(len(flat))
         for at in range(0, len(order), 32):
             part = [flat[i] for i in order[at : at + 32]]
             ids = np.concatenate([p[0] for p in part])
             first = np.concatenate([[0], np.cumsum([p[2] for p in part])])
-            rows = np.concatenate([p[1] + f for p, f in zip(part, first)])
+            rows = np.repeat(np.arange(first[-1]), np.concatenate([p[1] for p in part]))
             doc = np.repeat(np.arange(len(part)), [p[2] for p in part])
             label = np.array([p[3] for p in part])
             z = bias + np.bincount(rows, w[ids], minlength=first[-1])
@@ -185,7 +207,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_words: int = MOST_WORDS) -> list:
+def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_words: int = MOST_WORDS) -> list[tuple[Sentences, int]]:
     """The bounded sample that the model is fitted on, as fit() takes it; held-out ids are not in it.
 
     The `most_docs` ids with the smallest hash are joined with their texts (the ids' number is the proven bound of what
@@ -226,10 +248,10 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_
                 if not equal:
                     continue
                 equal -= 1
-            out.append((row.doc_id, row.toxic, row.feats, row.sizes))
+            out.append((row.doc_id, int(row.toxic), Sentences(bytes(row.feats), row.sizes)))
     scratch.drop()
-    out.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
-    return [(np.split(np.frombuffer(f, dtype="<i4"), np.cumsum(s)[:-1]) if s else [], int(y)) for _, y, f, s in out]
+    out.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2].data))
+    return [(sentences, y) for _, y, sentences in out]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -244,6 +266,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model = fit(rows)
     model.slope, model.offset = part.slope, part.offset = calibration(part, rows[::5])
     model.offset += raised(part, rows[::5])
+    del rows, part
+    given_back()
     return model
 
 

@@ -759,3 +759,28 @@ def test_pipeline(spark, tmp_path):
     assert sum(truth[i] for i in kept if i in truth) <= 2 and sum(not truth[i] for i in kept if i in truth) >= 0.97 * sum(not t for t in truth.values())
     packed = Counter(r.doc_id for r in P.run(spark, str(tmp_path)).collect())
     assert set(packed) == set(kept)
+
+
+def test_training_holds_the_features_of_the_sample_once():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    docs, peak = [], {}
+    for k in range(300):
+        sizes = r.integers(1, 9, 300)
+        docs.append((toxicity.Sentences(r.integers(0, 1000 + 50 * (k % 2), int(sizes.sum())).astype("<i4").tobytes(), sizes), k % 2))
+    lists = [(list(s), y) for s, y in docs]
+    assert all(len(a) == n for (s, _), (own, _) in zip(docs, lists) for a, n in zip(own, s.sizes, strict=True))
+    was, toxicity.PASSES = toxicity.PASSES, 1
+    try:
+        tracemalloc.start()
+        for name, of in (("once", docs), ("lists", lists)):
+            tracemalloc.reset_peak()
+            began = tracemalloc.get_traced_memory()[0]
+            model = toxicity.fit(of)
+            peak[name] = tracemalloc.get_traced_memory()[1] - began, model.bias, model.weights.tolist()
+    finally:
+        tracemalloc.stop()
+        toxicity.PASSES = was
+    assert peak["once"][1:] == peak["lists"][1:]
+    assert peak["lists"][0] - peak["once"][0] > sum(len(s.data) for s, _ in docs) * 0.9
