@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -31,12 +31,14 @@ UNIT = "('0x' || substring(md5({parts}), 1, 12))::bigint / 281474976710656.0"
 def null_global_word_shuffle(spark, sf_dir):
     """All words of a corpus dealt anew; lines keep their lengths."""
     t = C.tokens(C.lines(spark, sf_dir)).select("corpus", "doc_id", "line_no", "pos", "line_len", "word")
-    s = nulls.permuted(t, ["corpus"], "word", ["doc_id", "line_no", "pos"], "global")
-    n = F.length("word")
-    return s.groupBy("corpus").agg(
-        F.count("*").alias("tokens"), F.round(F.avg(F.when(F.col("pos") == 0, n)), 6).alias("first_len"),
-        F.round(F.avg(F.when(F.col("pos") == F.col("line_len") - 1, n)), 6).alias("last_len"), F.round(F.avg(n), 6).alias("mean_len"),
-    )
+    edges = (F.col("pos") == 0).cast("int") + 2 * (F.col("pos") == F.col("line_len") - 1).cast("int")
+    s = nulls.joint_dealt(t, ["corpus"], edges, F.length("word"), ["doc_id", "line_no", "pos"], "global")
+
+    def mean(here) -> Column:
+        return F.round(F.sum(F.when(here, F.col("n") * F.col("value"))) / F.sum(F.when(here, F.col("n"))), 6)
+
+    first, last = F.col("slot").isin(1, 3), F.col("slot") >= 2
+    return s.groupBy("corpus").agg(F.sum("n").alias("tokens"), mean(first).alias("first_len"), mean(last).alias("last_len"), mean(F.lit(True)).alias("mean_len"))
 
 
 @analysis(oracle=f"""with {sql.CHARS}, s as (select *, row_number() over (partition by corpus, doc_id, line_no order by pos, i) as slot from chars),

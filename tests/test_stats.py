@@ -159,3 +159,12 @@ def test_resplit_of_a_type_that_only_begins_lines_is_as_in_sql(spark, tmp_path):
     assert math.isnan(wanted["en"]["real"]) and not math.isnan(wanted["de"]["real"]) and set(got) == set(wanted)
     for corpus, r in wanted.items():
         assert [got[corpus][c] for c in names[1:]] == pytest.approx([r[c] for c in names[1:]], nan_ok=True)
+
+
+def test_packed_dealing_counts_what_permuted_deals(spark):
+    df = spark.range(700).select(F.concat(F.lit("g"), F.col("id") % 3).alias("g"), "id", (F.col("id") % 5).alias("s"), F.when(F.col("id") == 4, 70_000).otherwise(F.col("id") % 7).alias("v"))
+    dealt = nulls.permuted(df, ["g"], "v", ["id"], "t").groupBy("g", "s", "v").agg(F.count("*").alias("n"))
+    wanted = sorted(map(tuple, dealt.collect()))
+    for width in (1 << 20, 16):
+        assert sorted(map(tuple, nulls.joint_dealt(df, ["g"], F.col("s"), F.col("v"), ["id"], "t", width).collect())) == wanted
+    assert nulls.joint_dealt(df.limit(0), ["g"], F.col("s"), F.col("v"), ["id"], "t").count() == 0
