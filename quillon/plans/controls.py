@@ -71,17 +71,156 @@ AFFIXES = EDGE.replace("word", "b"), ENDS.replace("word", "a")
     select m.corpus, round(any_value(real), 6) as real, round(avg(mi), 6) as null_mean, round((1 + count(*) filter (mi >= real)) / 6.0, 6) as p from m join o using (corpus) where rep >= 0 group by m.corpus""")
 def null_column_shuffle(spark, sf_dir, reps=5):
     """What a word's ending tells of the next word's beginning, against both columns dealt anew, each by itself, in every source."""
-    p = C.pairs(C.lines(spark, sf_dir), keep=("corpus", "source", "doc_id", "line_no"))
-    p = p.select("corpus", "source", "doc_id", "line_no", "pos", T.suffix(F.col("a")).alias("s"), T.prefix(F.col("b")).alias("p"))
+    packed = shared.written(packed_affixes(spark, sf_dir), "affixes", cleanup=True)
+    told = packed.select("corpus", "pairs").mapInArrow(_own_pairs, "corpus string, x int, y int, n long")
+    real = stats.mutual_information(told.groupBy("corpus", "x", "y").agg(F.sum("n").alias("n")), ["corpus"], "x", "y").select("corpus", F.col("mi").alias("real"))
+    null = stats.mutual_information(columns_dealt(packed, reps), ["corpus", "rep"], "x", "y").select("corpus", "rep", "mi").join(real, "corpus")
+    return null.groupBy("corpus").agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("mi"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("mi"), F.col("real")), 6).alias("p"))
 
-    def mi(df: DataFrame, by: list[str]) -> DataFrame:
-        return stats.mutual_information(stats.freq(df, by, "s", "p"), by, "s", "p").select(*by, "mi")
 
-    real, within, key = mi(p, ["corpus"]).withColumnRenamed("mi", "real"), ["corpus", "source", "rep"], ["doc_id", "line_no", "pos"]
-    dealt = nulls.permuted(nulls.replicates(p, reps), within, "s", key, "suffix")
-    dealt = nulls.permuted(dealt, within, "p", key, "prefix")
-    null = mi(dealt, ["corpus", "rep"]).join(real, "corpus")
-    return null.groupBy("corpus").agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("mi"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("mi"), F.col("real")), 6).alias("p"))
+#: Affixes by number; the last is none of them. A pair is 16 times its ending's number and its beginning's.
+ENDINGS, BEGINNINGS = [*T.EDGE_SUFFIXES, "X"], [*T.EDGE_PREFIXES, "X"]
+
+
+def packed_affixes(spark, sf_dir) -> DataFrame:
+    """(corpus, source, doc_id, lines, sizes, pairs, n): a document's lines of two words or more, packed: their numbers and
+    how many pairs each has, four bytes each, and a byte a pair; n pairs in all."""
+    import numpy as np
+    import pyarrow as pa
+
+    def put(batches):
+        for batch in batches:
+            lens = batch["lines"]
+            of = np.diff(lens.offsets.to_numpy())
+            lines = lens.flatten()
+            sizes, codes = np.diff(lines.offsets.to_numpy()).astype(np.int64), lines.flatten().to_numpy().astype(np.int64)
+            number = np.arange(len(sizes)) - np.repeat(np.cumsum(of) - of, of)
+            last = np.zeros(len(codes), bool)
+            last[np.cumsum(sizes)[sizes > 0] - 1] = True
+            pairs = (codes[:-1] & 0xF0 | codes[1:] & 0xF)[~last[:-1]].astype(np.uint8)
+            sizes = np.maximum(sizes - 1, 0)
+            kept, ends = sizes > 0, np.cumsum(of)
+            pair_at, line_at = np.concatenate([[0], np.cumsum(sizes)])[[0, *ends]], np.concatenate([[0], np.cumsum(kept)])[[0, *ends]]
+            number, sizes = number[kept].astype("<u4"), sizes[kept].astype("<u4")
+            cut = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+            told = [batch["corpus"], batch["source"], batch["doc_id"], cut(number, line_at), cut(sizes, line_at), cut(pairs, pair_at), pa.array(np.diff(pair_at), pa.int64())]
+            yield pa.RecordBatch.from_arrays(told, names=["corpus", "source", "doc_id", "lines", "sizes", "pairs", "n"])
+
+    def code(w) -> Column:
+        s, p = T.suffix(w), T.prefix(w)
+        return (F.array_position(F.array(*map(F.lit, ENDINGS)), s) * 16 + F.array_position(F.array(*map(F.lit, BEGINNINGS)), p)).cast("int")
+
+    lines = F.transform(F.split("text", "\n", -1), lambda l: F.transform(T.words(l), code))
+    docs = C.table(spark, sf_dir, "documents").where("text is not null").select(F.col("lang").alias("corpus"), "source", F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
+    return docs.mapInArrow(put, "corpus string, source string, doc_id long, lines binary, sizes binary, pairs binary, n long").where("n > 0")
+
+
+def _own_pairs(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        corpora = batch["corpus"].to_pylist()
+        found = {c: np.zeros(256, np.int64) for c in set(corpora)}
+        for corpus, pairs in zip(corpora, batch["pairs"]):
+            found[corpus] += np.bincount(np.frombuffer(pairs.as_buffer(), np.uint8), minlength=256)
+        for corpus, n in found.items():
+            k = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([corpus] * len(k), pa.string()), pa.array((k >> 4).astype(np.int32)), pa.array((k & 15).astype(np.int32)), pa.array(n[k])], names=["corpus", "x", "y", "n"])
+
+
+def columns_dealt(packed: DataFrame, reps: int, most: int = 1 << 25) -> DataFrame:
+    """(corpus, rep, x, y, n): pairs with their endings and their beginnings dealt anew in every source.
+
+    A task takes the packed documents of a source and orders its pairs by arrays of hashes, once for each column and side.
+    A source of over `most` pairs is dealt by nulls.permuted(), which ranks in ranges of the hashes.
+    """
+    packed = packed.where("corpus is not null and source is not null")
+    by = ["corpus", "source"]
+    large = packed.groupBy(*by).agg(F.sum("n").alias("k")).where(F.col("k") > most).select(*by)
+    is_large = large.limit(1).count() > 0
+    small = packed.join(large, by, "left_anti") if is_large else packed
+    small = small.repartition(4 * packed.sparkSession.sparkContext.defaultParallelism, *by)  # few bytes, but much work
+    j = small.groupBy(*by).applyInArrow(lambda t: _columns_dealt(t, reps), "corpus string, rep int, x int, y int, n long")
+    if is_large:
+        rows = packed.join(large, by, "left_semi").mapInArrow(_unpacked, "corpus string, source string, doc_id long, line_no long, pos long, x int, y int")
+        within, key = [*by, "rep"], ["doc_id", "line_no", "pos"]
+        dealt = nulls.permuted(nulls.replicates(rows, reps), within, "x", key, "suffix")
+        j = j.unionByName(stats.freq(nulls.permuted(dealt, within, "y", key, "prefix"), ["corpus", "rep"], "x", "y"))
+    return j.groupBy("corpus", "rep", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def _rows(table):
+    """Of packed documents: the documents' ids and their lines' numbers, a line each, the lines' sizes and all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    lines, sizes, pairs = ([x.as_buffer() for x in table[c]] for c in ("lines", "sizes", "pairs"))
+    lines, sizes, pairs = (np.frombuffer(b"".join(x), kind) for x, kind in ((lines, "<u4"), (sizes, "<u4"), (pairs, np.uint8)))
+    ids = table["doc_id"]
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    of = np.array([x.as_buffer().size // 4 for x in table["lines"]], np.int64)
+    return ids.take(pa.array(np.repeat(np.arange(len(of)), of))), lines.astype(np.int64), sizes.astype(np.int64), pairs, np.repeat(np.arange(len(of)), of)
+
+
+def _unpacked(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.functions import md5
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, lines, sizes, pairs, row = _rows(batch.slice(k, 1))
+            where, pos = md5.places(sizes)
+            at = pa.array(np.zeros(len(where), np.int64))
+            told = [batch["corpus"].slice(k, 1).take(at), batch["source"].slice(k, 1).take(at), ids.take(pa.array(where)), pa.array(lines[where]), pa.array(pos), pa.array((pairs >> 4).astype(np.int32)), pa.array((pairs & 15).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(told, names=["corpus", "source", "doc_id", "line_no", "pos", "x", "y"])
+
+
+def _columns_dealt(table, reps: int):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillon.functions import md5
+
+    corpus, source = table["corpus"][0].as_py(), table["source"][0].as_py()
+    ids, lines, sizes, pairs, _ = _rows(table.sort_by("doc_id"))
+    upto, cuts = np.concatenate([[0], np.cumsum(sizes)]), [0]
+    while cuts[-1] < len(sizes):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, upto[cuts[-1]] + (1 << 18), "right")) - 1))
+
+    def part(a: int, b: int) -> md5.Messages:
+        return md5.Messages.placed(md5.joined(ids.slice(a, b - a), lines[a:b]), sizes[a:b], *md5.places(sizes[a:b]))
+
+    def digest(prefix: bytes, i: int) -> bytes:
+        a = int(np.searchsorted(upto, i, "right")) - 1
+        return part(a, a + 1).digest(prefix, int(i - upto[a]))
+
+    def orders(prefixes: list[bytes]):
+        """Row numbers by each prefix's hashes; as many are hashed in a go as a few hundred MB hold."""
+        step = max(1, (1 << 24) // len(pairs))
+        for k in range(0, len(prefixes), step):
+            some = prefixes[k : k + step]
+            hashed = [np.empty(len(pairs), np.uint64) for _ in some]
+            for a, b in zip(cuts, cuts[1:]):
+                told = part(a, b)
+                for prefix, h in zip(some, hashed):
+                    h[upto[a] : upto[b]] = told.first64(prefix)
+            for prefix in some:
+                yield md5.ordered(hashed.pop(0), lambda i, prefix=prefix: digest(prefix, i))
+
+    by = orders([f"{seed}|{corpus}|{source}|{rep}|".encode() for rep in range(reps) for seed in ("suffix", "suffix@", "prefix", "prefix@")])
+    out = []
+    for _ in range(reps):
+        new = np.zeros(len(pairs), np.uint8)
+        for mask in (0xF0, 0x0F):
+            dealt = pairs[next(by)] & np.uint8(mask)
+            new[next(by)] |= dealt
+        out.append(np.bincount(new, minlength=256))
+    rep, k = np.nonzero(out)
+    told = [pa.array([corpus] * len(k), pa.string()), *(pa.array(x.astype(np.int32)) for x in (rep, k >> 4, k & 15)), pa.array(np.array(out)[rep, k].astype(np.int64))]
+    return pa.table(told, names=["corpus", "rep", "x", "y", "n"])
 
 
 TOP_LETTERS = f"""with {sql.COUNTS}, pr as (select corpus, n, unnest(list_transform(range(1, length(word)), lambda i: word[i:i + 1])) as ab from counts where length(word) > 1),

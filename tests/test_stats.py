@@ -236,3 +236,27 @@ def test_letters_are_dealt_in_a_task_as_in_ranges(spark, tmp_path):
 
 
 SHUFFLES = [("flat", False, "flat_shuffle_null"), ("slot", True, "slot_shuffle_null")]
+
+
+def test_columns_are_dealt_in_a_task_as_in_ranges(spark, tmp_path):
+    from quillon import catalog
+    from quillon.functions import text as T
+    from quillon.plans import controls
+    from quillon.sources import corpus as C
+
+    text = "qodain shol dary chedy\n\none\nqokain lcheor y dol" + "\nolar shy dain" * 9
+    rows = [(k, "en" if k % 3 else "de", f"{'a long name ' * 5 * (k % 2)}{k % 4}", text[k:] * (k % 3 + 1)) for k in range(12)]
+    rows += [(90, None, "s", text), (91, "en", None, text), (92, "fr", "s", None), (93, "fr", "s", "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = controls.packed_affixes(spark, str(tmp_path))
+    p = C.pairs(C.lines(spark, str(tmp_path)), keep=("corpus", "source", "doc_id", "line_no"))
+    p = p.select("corpus", "source", "doc_id", "line_no", "pos", T.suffix(F.col("a")).alias("x"), T.prefix(F.col("b")).alias("y"))
+    within, key = ["corpus", "source", "rep"], ["doc_id", "line_no", "pos"]
+    dealt = nulls.permuted(nulls.permuted(nulls.replicates(p, 3), within, "x", key, "suffix"), within, "y", key, "prefix")
+    wanted = sorted((r.corpus, r.rep, r.x, r.y, r["count"]) for r in dealt.groupBy("corpus", "rep", "x", "y").count().collect())
+    for most in (1 << 25, 60, 0):
+        found = controls.columns_dealt(packed, 3, most)
+        assert sorted((r.corpus, r.rep, controls.ENDINGS[r.x - 1], controls.BEGINNINGS[r.y - 1], r.n) for r in found.collect()) == wanted
+    found = plan(catalog.queries()["null_column_shuffle"](spark, str(tmp_path)))
+    assert "FlatMapGroupsInArrow" in found and "doc_id" not in found.split("FlatMapGroupsInArrow")[0]  # no pair is ranked outside a task
