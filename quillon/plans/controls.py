@@ -74,7 +74,8 @@ def null_column_shuffle(spark, sf_dir, reps=5):
     packed = shared.written(packed_affixes(spark, sf_dir), "affixes", cleanup=True)
     told = packed.select("corpus", "pairs").mapInArrow(_own_pairs, "corpus string, x int, y int, n long")
     real = stats.mutual_information(told.groupBy("corpus", "x", "y").agg(F.sum("n").alias("n")), ["corpus"], "x", "y").select("corpus", F.col("mi").alias("real"))
-    null = stats.mutual_information(columns_dealt(packed, reps), ["corpus", "rep"], "x", "y").select("corpus", "rep", "mi").join(real, "corpus")
+    dealt = shared.written(columns_dealt(packed, reps), "columns", cleanup=True)  # read more than once
+    null = stats.mutual_information(dealt, ["corpus", "rep"], "x", "y").select("corpus", "rep", "mi").join(real, "corpus")
     return null.groupBy("corpus").agg(F.round(F.max("real"), 6).alias("real"), F.round(F.avg("mi"), 6).alias("null_mean"), F.round(nulls.empirical_p(F.col("mi"), F.col("real")), 6).alias("p"))
 
 
